@@ -19,7 +19,6 @@ Defined results
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
@@ -27,87 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import shared_coder
 from .common import binary_column, materialise
 
 WINDOW, CLOSE, GROUP = 4096, 2, 8192
-#: distinct words whose ids a worker remembers
-CACHE = 400_000
-
-
-class WordEncoder:
-    """Token ids of texts by the tokenizers library, word by word.
-
-    The vocabulary's splitting pattern never crosses white space and drops it,
-    so a text's ids are those of its white-space-separated words in a row.  Ids
-    of words are kept in one flat array and gathered.  Texts that hold an added
-    token go to the library whole.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.flat = np.empty(1 << 20, np.uint32)
-        self.used = 0
-        self.begin = np.zeros(1 << 18, np.int64)
-        self.size = np.zeros(1 << 18, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        got = self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, got):
-            ids = e.ids
-            k, n = len(self.at), len(ids)
-            while self.used + n > self.flat.size:
-                self.flat = np.resize(self.flat, 2 * self.flat.size)
-            if k == self.begin.size:
-                self.begin, self.size = np.resize(self.begin, 2 * k), np.resize(self.size, 2 * k)
-            self.flat[self.used : self.used + n] = ids
-            self.begin[k], self.size[k] = self.used, n
-            self.at[w] = k
-            self.used += n
-
-    def whole(self, text: bytes) -> np.ndarray:
-        return np.array(self.tok.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text."""
-        if len(self.at) > CACHE:
-            self.clear()
-        out: list = [None] * len(texts)
-        split = []
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                out[i] = self.whole(text)
-                split.append([])
-            else:
-                split.append(text.lower().split())
-        at = self.at
-        fresh = {w for words in split for w in words if w not in at}
-        if fresh:
-            self.learn(sorted(fresh))
-        for i, words in enumerate(split):
-            if out[i] is None:
-                k = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-                size = self.size[k]
-                ends = np.cumsum(size)
-                total = int(ends[-1]) if k.size else 0
-                out[i] = self.flat[np.repeat(self.begin[k] - (ends - size), size) + np.arange(total)]
-        return out
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, close: int = CLOSE) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full windows and the rest of every document."""
 
     def run(batches):
-        coder = WordEncoder(vocabulary)
+        coder = shared_coder(vocabulary)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             texts = binary_column(batch, "text")

@@ -76,7 +76,7 @@ def runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     out = count.astype(U64)
     for k in range(int(count.max(initial=0))):
         on = count > k
-        out[on] += mix(h[s[on] + k] + U64(k + 1) * STEP)
+        out[on] += mix(h[s[on] + k] + U64(k + 1))
     begin = np.searchsorted(owner, owner[s])
     return mix(out), owner[s], s - begin, count
 
