@@ -43,7 +43,7 @@ from .common import binary_column
 PATTERN = r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 SUFFIX = "</w>"
 #: words that a worker remembers
-CACHE = 1_000_000
+CACHE = 200_000
 NONE = np.int32(2**31 - 1)
 
 
