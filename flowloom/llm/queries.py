@@ -38,12 +38,37 @@ def op3_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .external_shuffle import digest, shuffle
+
+    return digest(shuffle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests, encode_documents
 
     return digests(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()))
 
 
+def op6_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid_crf import identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs, train(docs))
+
+
+def op7_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sparse_suffix import drop_repeats
+
+    return drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_int8_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .int8_dedup import similar
+
+    return similar(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentence_spans import drop_repeats
 
@@ -59,7 +84,10 @@ def op10_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_crf, op2_best_fit_packing, op3_parity_join, op5_bpe, op9_sentence_spans, op10_sanitise)}
+    return {f.__name__: f for f in (
+        op1_quality_crf, op2_best_fit_packing, op3_parity_join, op4_external_shuffle, op5_bpe,
+        op6_langid_crf, op7_sparse_suffix, op8_int8_dedup, op9_sentence_spans, op10_sanitise,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
