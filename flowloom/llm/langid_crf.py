@@ -169,13 +169,13 @@ def held_out() -> F.Column:
 
 def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> dict | None:
     """Fit on at most ``limit`` labelled documents outside the held-out fold, in hash order."""
-    rows = (
-        docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-        .select(F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang", F.xxhash64("doc_id").alias("h"), "doc_id")
-        .orderBy("h", "doc_id", "lang", "text")
-        .limit(limit)
-        .collect()
-    )
+    labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    # ids first: a task's candidates for the sample are then a few bytes each
+    picked = [r[0] for r in labelled.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(limit).collect()]
+    if not picked:
+        return None
+    texts = labelled.where(F.col("doc_id").isin(picked)).select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang")
+    rows = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(limit).collect()
     return fit([(r.text, r.lang) for r in rows])
 
 
