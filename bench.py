@@ -6,10 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE = (
-    "graph_build", "spf_distances", "spf_dag", "spf_kernel", "resolve_paths", "ksp_costs", "max_flow_single_tier", "max_flow_cost_distribution",
-    "max_flow_equal_balanced", "min_cut_capacity", "batch_failures", "sensitivity", "policy_wcmp", "trade_max_flow",
-)
+HEADLINE = ("graph_build", "spf_kernel", "resolve_paths", "max_flow_single_tier", "max_flow_cost_distribution", "trade_max_flow")
 
 
 def mesh(spark, n):

@@ -43,6 +43,14 @@ class Net:
             table[u].setdefault(v, []).append(e)
         return [list(t.items()) for t in table]
 
+    @cached_property
+    def into(self) -> list[list[int]]:
+        """Per node: the edges that end there."""
+        table: list[list[int]] = [[] for _ in range(self.n)]
+        for e, v in enumerate(self.dst.tolist()):
+            table[v].append(e)
+        return table
+
     @cached_property
     def costs(self) -> list[int]:
         return self.cost.tolist()
