@@ -141,7 +141,7 @@ def trade_max_flow(spark, sf_dir):
 
 
 def trade_sensitivity(spark, sf_dir):
-    return batch.sensitivity(networks.trade(spark, sf_dir), nation_pairs(spark, sf_dir).where("src = 0"))
+    return batch.sensitivity(networks.trade(spark, sf_dir), nation_pairs(spark, sf_dir).where("dst = 1"))
 
 
 QUERIES = {f.__name__: f for f in (
