@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -15,6 +17,18 @@ EDGE_SCHEMA = "edge_id int, ext_edge_id long, src int, dst int, capacity double,
 MAX_LOCAL_EDGES = 4_000_000
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes df into the cluster's shared folder and reads it back."""
+    spark: SparkSession = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="flowloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Net:
     """A graph in arrays, edges in id order; built from sorted columns."""
 
@@ -157,9 +171,12 @@ def violations(edges: DataFrame, num_nodes: int) -> dict[str, int]:
 def build_graph(edges: DataFrame, num_nodes: int) -> Graph:
     """Checks edges (src, dst, capacity, cost, ext_edge_id) and gives them ids.
 
-    Ids are ranks in a range-partitioned sort: each partition's rows are counted,
-    and a row's id is its partition's offset plus its place there.
+    The edges are written once, so their plan runs a single time however often
+    the graph is read.  Up to a million edges are ranked in one sort; beyond
+    that a row's id is its place within (cost, block of 1,024 sources) plus the
+    rows of the blocks before.
     """
+    edges = materialise(edges.select("src", "dst", "capacity", "cost", "ext_edge_id"))
     found = violations(edges, num_nodes)
     broken = {k: v for k, v in found.items() if k != "rows" and v}
     if broken or num_nodes < 0:
@@ -171,7 +188,6 @@ def build_graph(edges: DataFrame, num_nodes: int) -> Graph:
         F.col("capacity").cast("double").alias("capacity"), F.col("cost").cast("long").alias("cost"),
     )
     order = ["cost", "src", "dst", "ext_edge_id"]
-    # one sort task is right up to a million edges; beyond that ranks are taken per cost and added up
     if found["rows"] <= 1_000_000:
         ranked = base.withColumn("edge_id", F.row_number().over(W.orderBy(*order)) - 1)
     else:
@@ -181,7 +197,9 @@ def build_graph(edges: DataFrame, num_nodes: int) -> Graph:
         starts = counts.withColumn("offset", F.coalesce(F.sum("c").over(W.orderBy("cost", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("c")
         local = F.row_number().over(W.partitionBy("cost", "block").orderBy("src", "dst", "ext_edge_id"))
         ranked = keyed.withColumn("place", local).join(starts, ["cost", "block"]).withColumn("edge_id", F.col("offset") + F.col("place") - 1)
-    return Graph(ranked.select(F.col("edge_id").cast("int").alias("edge_id"), "ext_edge_id", "src", "dst", "capacity", "cost"), num_nodes)
+    graph = Graph(ranked.select(F.col("edge_id").cast("int").alias("edge_id"), "ext_edge_id", "src", "dst", "capacity", "cost"), num_nodes)
+    graph.__dict__["num_edges"] = found["rows"]
+    return graph
 
 
 def from_arrays(spark: SparkSession, num_nodes: int, src, dst, capacity, cost, ext_edge_ids=None) -> Graph:

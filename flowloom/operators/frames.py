@@ -7,29 +7,14 @@ executor costs one round.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, materialise
 from ..model import MIN_CAP, MIN_FLOW
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df into the cluster's shared folder and reads it back."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="flowloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def allowed(edges: DataFrame, excluded_nodes: DataFrame | None = None, excluded_edges: DataFrame | None = None, residual: DataFrame | None = None, require_capacity: bool = False) -> DataFrame:
     """Edges after masks and the capacity gate, with column rest."""
     e = edges.withColumn("rest", F.col("capacity"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import Graph, build_graph
+from ..graph import Graph, build_graph, materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,14 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier nation -> customer nation; capacity is the quantity traded.
 
-    lineitem is summed per (order, supplier) before it meets the dimension
-    tables, and only five columns of four tables are read.
+    Each row meets its supplier's nation and each order its customer's before
+    the two are joined, so lineitem is dealt out by one key alone.
     """
-    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
-    cust = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
     supp = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("src"))
-    flows = line.join(supp, "l_suppkey").join(orders, "l_orderkey").join(cust, "c_custkey")
+    cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("dst"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity").join(supp, "l_suppkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(cust, "o_custkey")
+    flows = line.join(orders, "l_orderkey").withColumnRenamed("l_quantity", "q")
     pairs = flows.groupBy("src", "dst").agg(F.sum("q").alias("capacity"))
     return pairs.select(
         "src", "dst", "capacity", (1 + (F.col("src") * 7 + F.col("dst") * 11) % 13).cast("long").alias("cost"), (F.col("src") * 1000 + F.col("dst")).cast("long").alias("ext_edge_id")
@@ -43,15 +43,17 @@ def two_hop_edges(spark: SparkSession, sf_dir: str, tiers: int = 1) -> DataFrame
     SUPPLIER_AT + key.  With more tiers a supplier's first hop costs
     1 + s_suppkey mod tiers.
     """
-    line = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey", "l_returnflag").agg(F.sum("l_quantity").alias("q"))
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", F.lit(True).alias("known"))
     flag = F.ascii("l_returnflag")
     brand = (F.regexp_extract("p_brand", "[0-9]+$", 0).cast("int") % 50) + BRAND_AT
     mid = (F.col("l_suppkey") + SUPPLIER_AT).cast("int")
-    out = line.join(part, "l_partkey").groupBy(mid.alias("src"), brand.alias("dst"), flag.alias("flag")).agg(F.sum("q").alias("capacity")).withColumn("cost", F.lit(1).cast("long"))
+    # one scan gives both hops: the first is a rollup of the second
+    sold = materialise(line.join(part, "l_partkey", "left").groupBy("l_suppkey", brand.alias("dst"), "l_returnflag", "known").agg(F.sum("l_quantity").alias("q")))
+    out = sold.where("known").groupBy(mid.alias("src"), "dst", flag.alias("flag")).agg(F.sum("q").alias("capacity")).withColumn("cost", F.lit(1).cast("long"))
     supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     into = (
-        table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.sum("l_quantity").alias("q"))
+        sold.groupBy("l_suppkey", "l_returnflag").agg(F.sum("q").alias("q"))
         .join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(F.col("s_nationkey").cast("int").alias("src"), mid.alias("dst"), flag.alias("flag"), (F.floor(F.col("q") / 20) + 1).cast("double").alias("capacity"), (1 + F.col("s_suppkey") % tiers).cast("long").alias("cost"))
     )
