@@ -63,7 +63,7 @@ def resolve_paths(spark, sf_dir):
 
 def ksp_costs(spark, sf_dir):
     g = networks.two_hop(spark, sf_dir, tiers=3)
-    return batch.ksp(g, networks.pairs(spark, sf_dir).where("dst % 5 = 0"), 4).select("query_id", F.col("path_no").cast("int").alias("path_no"), "cost")
+    return batch.ksp(g, networks.pairs(spark, sf_dir), 4).select("query_id", F.col("path_no").cast("int").alias("path_no"), "cost")
 
 
 def max_flow_single_tier(spark, sf_dir):
@@ -99,7 +99,7 @@ def min_cut_capacity(spark, sf_dir):
 
 def edge_flows(spark, sf_dir):
     g = networks.two_hop(spark, sf_dir)
-    f = batch.edge_flows(g, networks.pairs(spark, sf_dir).where("src < 5"), MaxFlowOptions(shortest_path=True))
+    f = batch.edge_flows(g, networks.pairs(spark, sf_dir), MaxFlowOptions(shortest_path=True))
     return f.join(g.edges.select("edge_id", "ext_edge_id"), "edge_id").select("query_id", "ext_edge_id", F.round("flow", 3).alias("flow"))
 
 
@@ -114,7 +114,7 @@ def batch_failures(spark, sf_dir):
 
 def sensitivity(spark, sf_dir):
     g = networks.two_hop(spark, sf_dir)
-    s = batch.sensitivity(g, networks.pairs(spark, sf_dir).where("src < 3 AND dst < 60"))
+    s = batch.sensitivity(g, networks.pairs(spark, sf_dir))
     return s.join(g.edges.select("edge_id", "ext_edge_id"), "edge_id").select("query_id", "ext_edge_id", F.round("loss", 4).alias("loss"))
 
 
@@ -141,7 +141,9 @@ def trade_max_flow(spark, sf_dir):
 
 
 def trade_sensitivity(spark, sf_dir):
-    return batch.sensitivity(networks.trade(spark, sf_dir), nation_pairs(spark, sf_dir).where("dst = 1"))
+    """One pair for each nation: from it to the next one (no closed form in SQL)."""
+    ring = sources(spark, sf_dir).withColumn("dst", ((F.col("src") + 1) % 25).cast("int"))
+    return batch.sensitivity(networks.trade(spark, sf_dir), ring)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -203,20 +205,20 @@ ORACLES = {
     "spf_masked": f"WITH {TRADE},\nopen AS (SELECT * FROM edges WHERE src NOT IN (3, 7) AND dst NOT IN (3, 7) AND ext_edge_id % 5 <> 0),\n{min_plus('open', 'SELECT CAST(n_nationkey AS INTEGER) AS n FROM nation WHERE n_nationkey NOT IN (3, 7)')}\nSELECT CAST(s AS BIGINT) AS query_id, t AS node, d AS dist FROM d5",
     "resolve_paths": f"WITH {two_hop_sql()} SELECT query_id, CAST(m + 100 AS INTEGER) AS mid, CAST(kin AS INTEGER) AS first_edges, CAST(kout AS INTEGER) AS second_edges FROM mids",
     "ksp_costs": f"""WITH {two_hop_sql(3)} SELECT query_id, CAST(rn - 1 AS INTEGER) AS path_no, CAST(cost AS BIGINT) AS cost FROM (
- SELECT query_id, cost, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY cost) AS rn FROM mids, range(100) WHERE range < kin * kout AND b % 5 = 0) WHERE rn <= 4""",
+ SELECT query_id, cost, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY cost) AS rn FROM mids, range(100) WHERE range < kin * kout) WHERE rn <= 4""",
     "max_flow_single_tier": single_tier(),
     "max_flow_cost_distribution": f"WITH {two_hop_sql(3)} SELECT query_id, CAST(cost AS BIGINT) AS cost, ROUND(SUM(LEAST(cin, cout)), 4) AS flow FROM mids GROUP BY 1, 2",
     "max_flow_equal_balanced": EVEN,
     "equal_balanced_frames": EVEN,
     "min_cut_capacity": f"WITH {two_hop_sql()} SELECT query_id, SUM(LEAST(cin, cout)) AS cut_capacity FROM mids GROUP BY 1",
-    "edge_flows": f"""WITH {two_hop_sql()} SELECT query_id, CAST(mids.n AS BIGINT) * 100000000000 + (mids.m + 100) * 1000 + ins.flag AS ext_edge_id, ROUND(LEAST(cin, cout) * ins.cap / cin, 3) AS flow FROM mids JOIN ins ON ins.m = mids.m WHERE mids.n < 5
- UNION ALL SELECT query_id, CAST(mids.m + 100 AS BIGINT) * 100000000000 + mids.b * 1000 + outs.flag, ROUND(LEAST(cin, cout) * outs.cap / cout, 3) FROM mids JOIN outs ON outs.m = mids.m AND outs.b = mids.b WHERE mids.n < 5""",
+    "edge_flows": f"""WITH {two_hop_sql()} SELECT query_id, CAST(mids.n AS BIGINT) * 100000000000 + (mids.m + 100) * 1000 + ins.flag AS ext_edge_id, ROUND(LEAST(cin, cout) * ins.cap / cin, 3) AS flow FROM mids JOIN ins ON ins.m = mids.m
+ UNION ALL SELECT query_id, CAST(mids.m + 100 AS BIGINT) * 100000000000 + mids.b * 1000 + outs.flag, ROUND(LEAST(cin, cout) * outs.cap / cout, 3) FROM mids JOIN outs ON outs.m = mids.m AND outs.b = mids.b""",
     "batch_failures": f"""WITH {two_hop_sql()} SELECT p.query_id * 10 + f.range AS query_id, ROUND(COALESCE(SUM(LEAST(cin, cout)) FILTER (WHERE mids.m % 4 <> f.range), 0), 4) AS total_flow
  FROM pairs p CROSS JOIN range(4) f LEFT JOIN mids ON mids.query_id = p.query_id GROUP BY 1""",
     "sensitivity": f"""WITH {two_hop_sql()}, lost AS (
  SELECT query_id, CAST(mids.n AS BIGINT) * 100000000000 + (mids.m + 100) * 1000 + ins.flag AS ext_edge_id, LEAST(cin, cout) - LEAST(cin - ins.cap, cout) AS loss FROM mids JOIN ins ON ins.m = mids.m WHERE cin <= cout
  UNION ALL SELECT query_id, CAST(mids.m + 100 AS BIGINT) * 100000000000 + mids.b * 1000 + outs.flag, LEAST(cin, cout) - LEAST(cin, cout - outs.cap) FROM mids JOIN outs ON outs.m = mids.m AND outs.b = mids.b WHERE cout <= cin)
- SELECT query_id, ext_edge_id, ROUND(loss, 4) AS loss FROM lost WHERE loss > 1.0 / 4096 AND query_id < 300 AND query_id % 100 < 60""",
+ SELECT query_id, ext_edge_id, ROUND(loss, 4) AS loss FROM lost WHERE loss > 1.0 / 4096""",
     "policy_wcmp": f"""WITH {two_hop_sql()}, t AS (SELECT p.query_id, LEAST(500, COALESCE(SUM(LEAST(cin, cout)), 0)) AS placed FROM pairs p LEFT JOIN mids ON mids.query_id = p.query_id GROUP BY 1)
  SELECT query_id AS scenario_id, ROUND(placed, 4) AS placed, ROUND(500 - placed, 4) AS leftover FROM t""",
 }
