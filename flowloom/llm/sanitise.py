@@ -21,7 +21,9 @@ Defined results
   very long text       whole; patterns are possessive, so they are linear
   ties                 spans are ordered by start, then kind (email, ip, card,
                        phone, term), then end
-  repeated rows        each row is returned; rows equal in id and text count once
+  repeated rows        each row is returned; for entities and their surroundings
+                       rows equal in id and text count once, in P(t) and the
+                       document total every row counts
   extra columns        passed through; result columns are replaced
 """
 
