@@ -48,6 +48,8 @@ SHINGLE = 5
 FLUSH, KEYS_PER_BIN = 2_000_000, 1_500_000
 BLOCK = 512
 BITS = 2048
+#: 64-bit words of the filter that spares texts without a candidate the shuffle: its most rows
+FILTER_WORDS = 1 << 18
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -241,6 +243,20 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
+def marked(docs: DataFrame, cand: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, tk, text) that may be in cand (doc_id, tk).
+
+    A bitmap of hashed keys, at most FILTER_WORDS rows however many candidates
+    there are, is broadcast.  It never drops a candidate; a fuller bitmap lets
+    more of the other rows through to the exact join.
+    """
+    spot = F.pmod(F.xxhash64("doc_id", "tk"), F.lit(64 * FILTER_WORDS))
+    bit = F.expr("shiftleft(1L, cast(spot % 64 AS int))")
+    words = cand.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    placed = docs.withColumn("spot", spot).withColumn("word", F.shiftright("spot", 6))
+    return placed.join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit) != 0).select("doc_id", "tk", "text")
+
+
 def cluster_links(docs: DataFrame, cand: DataFrame) -> DataFrame:
     """Exact links (a, b) inside the clusters of cand (node, root, size, doc_id, tk)."""
 
@@ -267,7 +283,7 @@ def cluster_links(docs: DataFrame, cand: DataFrame) -> DataFrame:
 
     c = cand.select("node", "root", "size", F.col("doc_id").alias("c_id"), F.col("tk").alias("c_tk"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
-    full = d.join(c, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("tk") == F.col("c_tk"))).select("node", "root", "size", "text")
+    full = marked(d, cand).join(c, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("tk") == F.col("c_tk"))).select("node", "root", "size", "text")
     bins = max(1, cand.count() // BLOCK)
     blocks = F.when(F.col("size") <= 2 * BLOCK, F.lit(1)).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
