@@ -358,3 +358,13 @@ def test_pipeline(spark):
             assert all(base_spans(r.text) == "" for r in at.collect())
     want = corpus_pipeline.pack(spark, at, sf)
     assert Counter(map(tuple, corpus_pipeline.run(spark, sf).collect())) == Counter(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("words", [1, 64])
+def test_marked_keeps_every_candidate(spark, monkeypatch, words):
+    monkeypatch.setattr(parity_join, "FILTER_WORDS", words)
+    rows = [(i if i % 7 else None, i * 31 - 50, f"text {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, tk long, text string")
+    got = {r.text for r in parity_join.marked(docs, docs.where("tk % 3 = 0").select("doc_id", "tk")).collect()}
+    assert {t for _, tk, t in rows if tk % 3 == 0} <= got
+    assert parity_join.marked(docs, docs.where("tk IS NULL")).isEmpty()
