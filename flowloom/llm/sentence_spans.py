@@ -1,10 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
 A sentence ends after a word with a final ``.``, ``!`` or ``?``, at a line
-break, or with the text.  From every sentence the shortest run of at least two
-sentences with MIN_WORDS words or more is hashed (one sentence of LONE_WORDS
-words is a run by itself).  Runs that occur more than once anywhere are
-repeated spans; the first occurrence in the order of (doc_id, text hash,
+break, or with the text.  The shortest run of at least two sentences with
+MIN_WORDS words or more is hashed that starts at each sentence, and the one
+that ends at each; a sentence of LONE_WORDS words is also a run by itself.
+These cover every longer run, to both of its ends.  Runs that occur more than
+once anywhere are repeated spans; the first occurrence in the order of (doc_id, text hash,
 position) stays, and the sentences that any other occurrence covers are
 removed.
 
@@ -66,12 +67,17 @@ def runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     place = np.arange(total) - np.repeat(first, size)
     h = mix(np.add.reduceat(mix(words.codes + place.astype(U64) * STEP), first))
     before = np.append(first, total)
-    last = np.searchsorted(before, first + MIN_WORDS) - 1
     here = np.arange(first.size)
-    last = np.where(size >= LONE_WORDS, here, np.maximum(last, here + 1))
+    last = np.maximum(np.searchsorted(before, first + MIN_WORDS) - 1, here + 1)
+    head = np.minimum(np.searchsorted(first, before[1:] - MIN_WORDS, side="right") - 1, here - 1)
+    lone = size >= LONE_WORDS
+    # a run that is the shortest from its start and to its end counts once
+    other = (head >= 0) & (last[head] != here)
+    s = np.concatenate([here, head[other], here[lone]])
+    last = np.concatenate([last, here[other], here[lone]])
     keep = last < first.size
-    keep[keep] = owner[last[keep]] == owner[keep]
-    s = here[keep]
+    keep[keep] = owner[last[keep]] == owner[s[keep]]
+    s = s[keep]
     count = last[keep] - s + 1
     out = count.astype(U64)
     for k in range(int(count.max(initial=0))):

@@ -368,3 +368,16 @@ def test_marked_keeps_every_candidate(spark, monkeypatch, words):
     got = {r.text for r in parity_join.marked(docs, docs.where("tk % 3 = 0").select("doc_id", "tk")).collect()}
     assert {t for _, tk, t in rows if tk % 3 == 0} <= got
     assert parity_join.marked(docs, docs.where("tk IS NULL")).isEmpty()
+
+
+def test_sentence_spans_hash_every_run(spark):
+    """The short end of a repeated passage goes too, whichever sentence is the long one."""
+    long, short, mid = prose(30, 30), prose(6), prose(12)
+    passages = [f"{long}\n{short}", f"{short}\n{long}", f"{mid}\n{prose(12)}\n{short}"]
+    rows = [(10 * k + j, f"{prose(40, 20)}\n{p}\n{prose(40, 20)}") for k, p in enumerate(passages) for j in range(2)]
+    got = {r.doc_id: r.text for r in sentence_spans.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own = dict(rows)
+    for k in range(3):
+        ends = own[10 * k + 1].split("\n")
+        assert got[10 * k + 1].split("\n") == [x for x in ends if x in ends[:2] + ends[-2:]]
+    assert got[0] == own[0]
