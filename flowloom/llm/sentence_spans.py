@@ -87,12 +87,22 @@ def runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return mix(out), owner[s], s - begin, count
 
 
+def fresh(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted entries differ from the one before: repeated rows give equal ones."""
+    out = np.ones(keys[0].size, bool)
+    if out.size:
+        out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return out
+
+
 def scatter(docs: DataFrame, bins: int) -> DataFrame:
     """(bin, blob): for each map task and bin its first occurrences and the others."""
 
     def pack(h, ids, tks, at, count):
         order = np.lexsort((at, tks, ids, h))
         h, ids, tks, at, count = (x[order] for x in (h, ids, tks, at, count))
+        new = fresh(h, ids, tks, at)
+        h, ids, tks, at, count = (x[new] for x in (h, ids, tks, at, count))
         again = np.zeros(h.size, bool)
         again[1:] = h[1:] == h[:-1]
         to = (h % U64(bins)).astype(np.int64)
@@ -139,6 +149,9 @@ def repeats(table: pa.Table) -> pa.Table:
     h, ids, tks, at, n = (np.concatenate(x) for x in zip(*heads))
     order = np.lexsort((at, tks, ids, h))
     h, ids, tks, at, n = (x[order] for x in (h, ids, tks, at, n))
+    # rest entries lie behind the head of their own blob, so none equals the first of all
+    new = fresh(h, ids, tks, at)
+    h, ids, tks, at, n = (x[new] for x in (h, ids, tks, at, n))
     again = np.zeros(h.size, bool)
     again[1:] = h[1:] == h[:-1]
     more = [np.concatenate(x) for x in zip(*rest)]

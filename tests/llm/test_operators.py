@@ -381,3 +381,13 @@ def test_sentence_spans_hash_every_run(spark):
         ends = own[10 * k + 1].split("\n")
         assert got[10 * k + 1].split("\n") == [x for x in ends if x in ends[:2] + ends[-2:]]
     assert got[0] == own[0]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_sentence_spans_repeated_rows(spark, parts):
+    """Rows equal in id and text are one document: its first occurrence stays in each."""
+    text, tail = prose(60), prose(40)
+    rows = [(1, text)] * 3 + [(2, text + "\n" + tail)] * 3 + [(None, prose(40))] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = Counter((r.doc_id, r.text) for r in sentence_spans.drop_repeats(docs).collect())
+    assert got == Counter([(1, text)] * 3 + [(2, tail)] * 3 + rows[6:])
