@@ -1,17 +1,21 @@
 """PII: information-theoretic sanitisation, in DataFrame functions alone.
 
 Base kinds (email, ip, card, phone) are found by pattern and validated.  Each
-found value is a protected entity.  A term is a word within REACH words of an
-entity in a document.  Over the whole corpus
+found value is a protected entity, and so is the group that it shares with
+others: an email's domain, an ip's first three numbers, a card's first six
+digits, a phone number without its last seven digits.  So values that occur
+once have terms too.  The kind itself is no secret: the mask names it.  A term
+is a word in the sentence of an entity.  Over the whole corpus
 
     P(t)    share of the documents that hold the term t
     P(e)    share of the documents that hold the entity e
-    P(e|t)  share of the documents with t that hold t near e
+    P(e|t)  share of the documents with t that hold t in a sentence with e
     PMI     log2(P(e|t) / P(e))        IC = -log2 P(e)
 
 A term discloses an entity when PMI >= DISCLOSURE * IC with at least SUPPORT
-distinct surroundings (copies of one text are one surrounding).  Where such a
-term stands near that entity it becomes a span of kind ``term``: it is
+distinct surroundings (copies of one sentence are one surrounding); for an
+entity with fewer, but at least RARE, the term stands in all of them.  Wherever
+such a term occurs, in any document, it becomes a span of kind ``term``: it is
 generalised to [NUMBER] or [NAME] (digits, capital first letter), else removed
 as [TERM].  Base spans are masked by their kind.
 
@@ -43,10 +47,13 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 PROBES = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-REACH, SUPPORT, DISCLOSURE = 4, 4, 0.5
-#: characters on either side of a span that are cut into words
-AROUND = 160
-WORD = r"[^\x20\x09-\x0D]+"
+SUPPORT, RARE, DISCLOSURE = 4, 2, 0.5
+#: words: letters and digits with what stands between them
+WORD = r"[\p{L}\p{M}\p{N}]++(?:[^\x20\x09-\x0D\p{L}\p{M}\p{N}]++[\p{L}\p{M}\p{N}]++)*+"
+#: ends of sentences; none lies inside a base span
+BREAK = r"(?<=\n)|(?<=[.!?])(?=[\x20\x09-\x0D]++[^0-9().-])"
+#: stands for a base span inside a word
+MARK = "0\x010"
 
 
 def found(text: Column, kind: str) -> Column:
@@ -103,52 +110,73 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def surroundings(spans: DataFrame) -> DataFrame:
-    """Words near each base span: (id, tk, entity, around, term, s, e).
+def terms_of(text: Column) -> Column:
+    """The distinct lower-case words of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
-    spans: (id, tk, text, x) with one base span x a row.
-    """
-    left = F.substring(F.col("text"), F.greatest(F.col("x.s") - AROUND + 1, F.lit(1)), F.least(F.col("x.s"), F.lit(AROUND)))
-    right = F.substring(F.col("text"), F.col("x.e") + 1, F.lit(AROUND))
-    value = F.when(F.col("x.k") == 0, F.lower("x.v")).when(F.col("x.k") == 1, F.col("x.v")).otherwise(F.regexp_replace("x.v", "[^0-9]", ""))
-    cut = spans.select("id", "tk", "x", left.alias("l"), right.alias("r"), F.concat_ws(":", F.col("x.k"), value).alias("entity"))
-
-    def placed(side: Column, base: Column) -> Column:
-        """array<struct<t, s, e>> of the words of a piece of text that starts at base."""
-        gaps = F.transform(F.split(side, WORD, -1), lambda g: F.length(g))
-        return F.aggregate(
-            F.arrays_zip(gaps.alias("g"), F.regexp_extract_all(side, F.lit(WORD), F.lit(0)).alias("w")),
-            F.struct(base.alias("at"), F.expr("cast(array() AS array<struct<t:string,s:int,e:int>>)").alias("out")),
-            lambda acc, x: F.struct(
-                (acc["at"] + x["g"] + F.coalesce(F.length(x["w"]), F.lit(0))).alias("at"),
-                F.when(x["w"].isNotNull(), F.concat(acc["out"], F.array(F.struct(x["w"].alias("t"), (acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + F.length(x["w"])).alias("e")))))
-                .otherwise(acc["out"])
-                .alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
 
-    # a word that touches the span, or that the cut may have split, is no term
-    ls = F.filter(placed(F.col("l"), F.col("x.s") - F.length("l")), lambda w: w["e"] < F.col("x.s"))
-    rs = F.filter(placed(F.col("r"), F.col("x.e")), lambda w: (w["s"] > F.col("x.e")) & (w["e"] < F.col("x.e") + AROUND))
-    near = F.concat(F.slice(F.reverse(ls), 1, REACH), F.slice(rs, 1, REACH))
-    full = cut.select("id", "tk", "entity", F.xxhash64("l", "r").alias("around"), F.explode(near).alias("w"))
-    return full.select("id", "tk", "entity", "around", F.lower("w.t").alias("term"), F.col("w.s").alias("s"), F.col("w.e").alias("e"))
+def entities_of(spans: Column) -> Column:
+    """The protected entities of base spans: values and the groups that they share."""
+
+    def pair(x: Column) -> Column:
+        digits = F.regexp_replace(x["v"], "[^0-9]", "")
+        value = F.when(x["k"] == 0, F.lower(x["v"])).when(x["k"] == 1, x["v"]).otherwise(digits)
+        group = F.when(x["k"] == 0, F.substring_index(value, "@", -1)).when(x["k"] == 1, F.substring_index(value, ".", 3))
+        group = group.when(x["k"] == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, F.lit(1), F.length(digits) - 7))
+        return F.array(F.concat_ws(":", x["k"], value), F.concat_ws(":", x["k"], F.lit("group"), group))
+
+    return F.array_distinct(F.flatten(F.transform(spans, pair)))
+
+
+def surroundings(hits: DataFrame) -> DataFrame:
+    """Sentences with base spans: (id, tk, entities, around, terms), one row for each.
+
+    hits: (id, tk, text) of documents with base spans.
+    """
+    lines = hits.select("id", "tk", F.explode(F.split("text", BREAK)).alias("text"))
+    lines = lines.withColumn("__digits", F.col("text").rlike("[0-9]"))
+    lines = lines.where(F.col("__digits") | F.contains("text", F.lit("@"))).withColumn("x", base_spans(F.col("text"))).where(F.size("x") > 0)
+    # a word that touches a span is no term
+    words = F.filter(terms_of(masked(F.col("text"), F.col("x"), F.lit(MARK))), lambda w: ~F.contains(w, F.lit("\x01")))
+    return lines.select("id", "tk", entities_of(F.col("x")).alias("entities"), F.xxhash64("text").alias("around"), words.alias("terms"))
 
 
 def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term) of the terms that disclose an entity, over all documents."""
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("around").alias("places"), F.countDistinct("id", "tk").alias("both")).where(F.col("places") >= support)
-    pairs = materialise(pairs)
+    held = near.select("id", "tk", "around", "terms", F.explode("entities").alias("entity"))
+    doc = F.struct("id", "tk")
+    entities = materialise(held.groupBy("entity").agg(F.countDistinct("around").alias("all_places"), F.countDistinct(doc).alias("with_entity")).where(F.col("all_places") >= min(RARE, support)))
+    each = held.join(entities.select("entity"), "entity").select("id", "tk", "around", "entity", F.explode("terms").alias("term"))
+    pairs = each.groupBy("entity", "term").agg(F.countDistinct("around").alias("places"), F.countDistinct(doc).alias("both"))
+    pairs = materialise(pairs.join(entities, "entity").where(F.col("places") >= F.least(F.lit(support), F.col("all_places"))))
     total = docs.count()
     if not total or pairs.isEmpty():
         return pairs.select("entity", "term").limit(0)
     wanted = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).join(wanted, "term")
-    entities = near.select("entity", "id", "tk").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    words = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("with_term"))
     n = F.lit(float(total))
     pmi = F.log2(F.col("both") / F.col("with_term") / (F.col("with_entity") / n))
-    return pairs.join(words, "term").join(entities, "entity").where(pmi >= F.lit(disclosure) * F.log2(n / F.col("with_entity"))).select("entity", "term")
+    return pairs.join(words, "term").where(pmi >= F.lit(disclosure) * F.log2(n / F.col("with_entity"))).select("entity", "term")
+
+
+def placed(text: Column, terms: Column) -> Column:
+    """array<struct<s, k, e>> of a text's words that are among terms."""
+    gaps = F.transform(F.split(text, WORD, -1), lambda g: F.length(g))
+    at = F.aggregate(
+        F.arrays_zip(gaps.alias("g"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w")),
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() AS array<struct<s:int,k:int,e:int>>)").alias("out")),
+        lambda acc, x: F.struct(
+            (acc["at"] + x["g"] + F.coalesce(F.length(x["w"]), F.lit(0))).alias("at"),
+            F.when(
+                x["w"].isNotNull() & F.array_contains(terms, F.lower(x["w"])),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), F.lit(len(KINDS)).alias("k"), (acc["at"] + x["g"] + F.length(x["w"])).alias("e")))),
+            )
+            .otherwise(acc["out"])
+            .alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    return F.when(terms.isNotNull(), at)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -163,36 +191,34 @@ def sanitise(docs: DataFrame) -> DataFrame:
     none = F.expr("cast(array() AS array<struct<s:int,k:int,e:int,v:string>>)")
     keyed = keyed.withColumn("__digits", F.coalesce(F.col("text").rlike("[0-9]"), F.lit(False)))
     keyed = keyed.withColumn("base", F.when(F.col("text").isNotNull() & (F.col("__digits") | F.contains("text", F.lit("@"))), base_spans(F.col("text"))).otherwise(none))
-    hits = keyed.where(F.size("base") > 0).dropDuplicates(["id", "tk"]).select("id", "tk", "text", F.explode("base").alias("x"))
+    hits = keyed.where(F.size("base") > 0).select("id", "tk", "text").dropDuplicates(["id", "tk"])
     near = materialise(surroundings(hits))
-    told = disclosing(docs, near)
-    terms = (
-        near.join(told, ["entity", "term"], "left_semi")
-        .groupBy("id", "tk")
-        .agg(F.collect_set(F.struct("s", F.lit(len(KINDS)).alias("k"), "e")).alias("terms"))
-        .select(F.col("id").alias("t_id"), F.col("tk").alias("t_tk"), "terms")
-    )
-    terms = materialise(terms)
+    told = materialise(disclosing(docs, near).select("term").distinct())
+    if told.isEmpty():
+        terms = told.select("term").limit(0)
+    else:
+        words = keyed.select("id", "tk", F.explode(terms_of(F.col("text"))).alias("term")).join(told, "term", "left_semi")
+        terms = materialise(words.groupBy(F.col("id").alias("t_id"), F.col("tk").alias("t_tk")).agg(F.collect_set("term").alias("terms")))
     if terms.isEmpty():
-        joined = keyed.withColumn("terms", F.expr("cast(null AS array<struct<s:int,k:int,e:int>>)"))
+        joined = keyed.withColumn("terms", F.expr("cast(null AS array<string>)"))
     else:
         joined = keyed.join(terms, F.col("id").eqNullSafe(F.col("t_id")) & F.col("tk").eqNullSafe(F.col("t_tk")), "left")
     base = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     # a term inside a base span is covered already
-    free = F.filter(F.coalesce("terms", F.expr("cast(array() AS array<struct<s:int,k:int,e:int>>)")), lambda t: ~F.exists("base", lambda b: (t["s"] < b["e"]) & (b["s"] < t["e"])))
+    free = F.filter(F.coalesce(placed(F.col("text"), F.col("terms")), F.expr("cast(array() AS array<struct<s:int,k:int,e:int>>)")), lambda t: ~F.exists("base", lambda b: (t["s"] < b["e"]) & (b["s"] < t["e"])))
     spans = joined.select("row", "text", base.alias("base"), F.array_sort(F.concat(base, free)).alias("found"))
     return spans.select(*[F.col(f"row.{c}").alias(c) if c != "text" else masked(F.col("text"), F.col("found")).alias("text") for c in extra], "base", "found")
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its mask; overlapping spans share one."""
+def masked(text: Column, spans: Column, same: Column | None = None) -> Column:
+    """The text with each span replaced by its mask (or by ``same``); overlapping spans share one."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     word = F.lit("")
 
     def step(acc: Column, x: Column) -> Column:
         piece = F.substring(text, x["s"] + 1, x["e"] - x["s"])
         term = F.when(piece.rlike("[0-9]"), "[NUMBER]").when(piece.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
-        mask = F.when(x["k"] < len(KINDS), F.get(names, x["k"])).otherwise(term)
+        mask = same if same is not None else F.when(x["k"] < len(KINDS), F.get(names, x["k"])).otherwise(term)
         skip = x["s"] < acc["at"]
         return F.struct(
             F.greatest(acc["at"], x["e"]).alias("at"),

@@ -391,3 +391,21 @@ def test_sentence_spans_repeated_rows(spark, parts):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
     got = Counter((r.doc_id, r.text) for r in sentence_spans.drop_repeats(docs).collect())
     assert got == Counter([(1, text)] * 3 + [(2, tail)] * 3 + rows[6:])
+
+
+def test_disclosing_terms_of_rare_entities(spark):
+    """Addresses that occur once share a domain: what names it goes wherever it stands."""
+    rows = [(i, f"{prose(6)} The firm Hoopoe, as {prose(8)[:-1]} said, wrote from a{i}@corp.example today. {prose(6)}") for i in range(6)]
+    rows += [(50, f"{prose(10)} Nobody at Hoopoe's office: Hoopoe, they said. {prose(6)}")]
+    rows += [(None, f"{prose(6)} Kestrel {prose(9)[:-1]} b@rare.example and {prose(6)}") for _ in range(2)]
+    rows += [(100 + i, f"The firm, as the rest said, wrote from {prose(10)[:-1]} today. {prose(10)}") for i in range(80)]
+    got = {(r.doc_id, t): r.text for (i, t), r in zip(rows, sanitise.sanitise(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()) if r.doc_id == i}
+    assert len(got) == len(rows)
+    assert all("Hoopoe" not in v for (i, _), v in got.items() if i is not None and i < 50)
+    assert "Hoopoe," not in got[rows[6]] and "[NAME], they said." in got[rows[6]]
+    assert all("Kestrel" not in got[r] for r in rows[7:9])
+    assert all(got[r] == r[1] for r in rows if r[0] is not None and r[0] >= 100)
+
+
+def test_sentences_do_not_cut_base_spans():
+    assert [re.split(sanitise.BREAK.replace("++", "+"), t) for t in ("+49. 30 123. 4567 end.", "1.2.3.4. Next! a", "a\nb.  c")] == [["+49. 30 123. 4567 end."], ["1.2.3.4.", " Next!", " a"], ["a\n", "b.", "  c"]]
