@@ -59,18 +59,24 @@ def dag(edges: DataFrame, dist: DataFrame, multi_edge: bool = True, prefer_resid
     return on.select("query_id", F.col("dst").alias("node"), F.col("src").alias("parent"), "edge_id")
 
 
-def list_paths(tree: DataFrame, targets: DataFrame, max_hops: int = 64) -> DataFrame:
-    """(query_id, edges) of all paths to targets (query_id, src, dst), parallel edges split."""
+def list_paths(tree: DataFrame, targets: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(query_id, edges) of all paths to targets (query_id, src, dst), parallel edges split.
+
+    Goes on until every path has ended; max_hops: raise when a path has more edges.
+    """
     open_ = targets.select("query_id", "src", F.col("dst").alias("at"), F.expr("cast(array() AS array<int>)").alias("edges"))
     done = None
-    for _ in range(max_hops):
+    hops = 0
+    while True:
         ended = open_.where("at = src").select("query_id", "edges")
         done = ended if done is None else done.unionByName(ended)
         go = open_.where("at <> src").join(tree.withColumnRenamed("node", "at"), ["query_id", "at"])
         open_ = materialise(go.select("query_id", "src", F.col("parent").alias("at"), F.concat(F.array("edge_id"), "edges").alias("edges")))
         if open_.isEmpty():
-            break
-    return done
+            return done
+        hops += 1
+        if max_hops is not None and hops > max_hops:
+            raise ValueError(f"a path has more than {max_hops} edges")
 
 
 def reachable(arcs: DataFrame, sources: DataFrame) -> DataFrame:
