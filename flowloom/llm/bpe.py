@@ -12,6 +12,8 @@ symbols; a word-end suffix; no decoder, so decoding joins tokens by spaces.
 
 Defined results
   null or empty text   no ids, empty decoded text
+  empty table          no rows
+  ties                 of equal lowest ranks in a word the leftmost merges first
   special tokens       their strings in a text are their ids (case-sensitive)
   very long text/word  whole; rounds are linear in a word's length
   null doc_id          passed through
@@ -37,13 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_column
+from .common import binary_column, chunks
 
-#: fixed values: the file's splitting pattern, with its white space spelt out, and a line break between words
-PATTERN = r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
-SUFFIX = "</w>"
-#: words that a worker remembers
-CACHE = 200_000
+#: fixed values: the word-end suffix, and the white space class that the file's splitting pattern means by \\s
+SUFFIX, SPACE = "</w>", r"\p{White_Space}"
+#: words that a worker remembers, and their bytes
+CACHE, CACHE_BYTES = 200_000, 16_000_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -138,7 +139,8 @@ class Coder:
         self.merger = Merger(vocab, spec["model"]["merges"])
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
-        self.split = regex.compile(PATTERN)
+        splitter = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(r"\n|" + splitter.replace(r"\s", SPACE))  # a line break parts the words
         names = vocab | {k.decode(): v for k, v in self.special.items()}
         self.token = [b""] * (max(names.values()) + 1)
         for k, v in names.items():
@@ -148,11 +150,12 @@ class Coder:
 
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.said: list[bytes] = []
+        self.said: list[bytes | None] = []  # decoded words, filled on demand
+        self.held = 0
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
         self.begin, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
-    def _store(self, words: list[bytes], ids: np.ndarray, size: np.ndarray, decoded: bool) -> None:
+    def _store(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
         k, n = len(self.at), len(words)
         while self.used + ids.size > self.flat.size:
             self.flat = np.resize(self.flat, 2 * self.flat.size)
@@ -163,13 +166,22 @@ class Coder:
         self.begin[k : k + n] = self.used + np.cumsum(size) - size
         self.used += ids.size
         self.at.update(zip(words, range(k, k + n)))
-        if decoded:
-            name, flat, at = self.token, ids.tolist(), 0
-            for s in size.tolist():
-                self.said.append(b" ".join([name[i] for i in flat[at : at + s]]))
-                at += s
+        self.said += [None] * n
+        self.held += sum(map(len, words))
+
+    def _said(self, numbers: list[int]) -> list[bytes]:
+        """The decoded forms of remembered words."""
+        said, name = self.said, self.token
+        out = [said[i] for i in numbers]
+        if None in out:
+            for i in set(numbers):
+                if said[i] is None:
+                    a = int(self.begin[i])
+                    said[i] = b" ".join([name[t] for t in self.flat[a : a + int(self.size[i])].tolist()])
+            out = [said[i] for i in numbers]
+        return out
 
-    def learn(self, words: list[bytes], decoded: bool = False) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Encode and remember words: runs without ASCII white space."""
         plain = [w.decode() if w.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", w.decode())) for w in words]
         joined = "\n".join(plain)
@@ -184,11 +196,11 @@ class Coder:
         n = size[at]
         total = np.bincount(word, n, len(words)).astype(np.int64)
         ids = flat[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        self._store(words, ids, total, decoded)
+        self._store(words, ids, total)
 
     def encode(self, texts: list[bytes], decoded: bool = False) -> list:
         """Ids (uint32) of each text; with ``decoded`` pairs of ids and decoded text."""
-        if len(self.at) > self.cache:
+        if len(self.at) > self.cache or self.held > CACHE_BYTES:
             self.clear()
         split = []
         for text in texts:
@@ -203,10 +215,10 @@ class Coder:
         fresh = [w for w in fresh if w not in at]
         marked = [w for w in fresh if w[:1] == b"\x00" and w[1:] in self.special]
         if marked:
-            self._store(marked, np.array([self.special[w[1:]] for w in marked], np.int32), np.ones(len(marked), np.int64), decoded)
+            self._store(marked, np.array([self.special[w[1:]] for w in marked], np.int32), np.ones(len(marked), np.int64))
             fresh = [w for w in fresh if w not in at]
         if fresh:
-            self.learn(fresh, decoded)
+            self.learn(fresh)
         out = []
         for words in split:
             k = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
@@ -215,10 +227,9 @@ class Coder:
             total = int(ends[-1]) if k.size else 0
             ids = self.flat[np.repeat(self.begin[k] - (ends - size), size) + np.arange(total)]
             if decoded:
-                said = self.said
                 if (size == 0).any():
                     k = k[size > 0]
-                out.append((ids, b" ".join([said[i] for i in k.tolist()])))
+                out.append((ids, b" ".join(self._said(k.tolist()))))
             else:
                 out.append(ids)
         return out
@@ -229,9 +240,10 @@ class Coder:
 
 @functools.lru_cache(maxsize=2)
 def shared_coder(path: str) -> Coder:
-    """The worker's coder, kept from task to task."""
-    gc.disable()  # millions of remembered words hold no cycles
-    return Coder(path)
+    """The worker's coder, kept from task to task and from query to query."""
+    coder = Coder(path)
+    gc.freeze()  # its tables hold no cycles
+    return coder
 
 
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -243,9 +255,9 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
         coder = shared_coder(vocabulary)
         for batch in batches:
             texts = [t or b"" for t in binary_column(batch, "text")]
-            for a in range(0, len(texts), 500):
-                part = batch.slice(a, 500)
-                got = coder.encode(texts[a : a + 500], decoded=True)
+            for a, some in chunks(texts, 1_000_000):
+                part = batch.slice(a, len(some))
+                got = coder.encode(some, decoded=True)
                 offsets = np.concatenate([[0], np.cumsum([g[0].size for g in got])]).astype(np.int32)
                 flat = np.concatenate([g[0] for g in got]).astype(np.int32)
                 cols = [part.column(c) for c in extra] + [pa.ListArray.from_arrays(offsets, flat), pa.array([g[1].decode() for g in got], pa.string())]

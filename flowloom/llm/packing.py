@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import shared_coder
-from .common import binary_column, materialise
+from .common import binary_column, chunks, materialise
 
 WINDOW, CLOSE, GROUP = 4096, 2, 8192
 
@@ -41,8 +41,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, close:
             ids = batch.column("doc_id").to_pylist()
             texts = binary_column(batch, "text")
             rows = []
-            for a in range(0, len(texts), 500):
-                for doc, got in zip(ids[a:], coder.encode([t or b"" for t in texts[a : a + 500]])):
+            for a, some in chunks(texts, 1_000_000):
+                for doc, got in zip(ids[a:], coder.encode(some)):
                     full = np.append(got, np.uint32(close)).astype("<u4")
                     for s in range(0, full.size, window):
                         piece = full[s : s + window]

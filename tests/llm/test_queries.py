@@ -1,0 +1,33 @@
+"""The registered queries one after another in one Python worker, in several orders."""
+
+import random
+from collections import Counter
+
+import pytest
+
+from flowloom.llm.queries import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def alone(spark):
+    return {name: Counter(map(str, f(spark, SF).collect())) for name, f in queries().items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_any_order(spark, alone, seed):
+    """Workers are reused, so what one query leaves in them must not change another."""
+    names = sorted(alone)
+    random.Random(seed).shuffle(names)
+    for name in names:
+        assert Counter(map(str, queries()[name](spark, SF).collect())) == alone[name], name
+
+
+def test_packing_before_coding_in_one_worker(spark):
+    """op2 remembers words without their decoded form; op5 asks the same worker for it."""
+    both = {k: f for k, f in queries().items() if k.startswith(("op2_", "op5_"))}
+    got = []
+    for order in (sorted(both), sorted(both, reverse=True)):
+        got.append({k: Counter(map(str, both[k](spark, SF).coalesce(1).collect())) for k in order})
+    assert got[0] == got[1]
