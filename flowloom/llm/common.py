@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -15,10 +15,15 @@ MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder.
+
+    Where none is set, a local master gets a temporary one (tests); a cluster raises.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="flowloom-")
         sc.setCheckpointDir(folder)
     return folder
@@ -30,7 +35,31 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables; all that reads them must have been written itself."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def result_columns(df: DataFrame, names: list[str]) -> list[str]:
+    """The columns of ``df`` other than ``names``, in Spark's sense (case does not count)."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def own_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -134,26 +163,53 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternating large-star and small-star rounds.  A round takes the least
     neighbour of each node with a partially aggregated minimum and joins it
-    back, so no neighbour list is ever gathered.  Null ends and loops are
-    ignored; nodes without an edge are absent.  Rounds grow with the logarithm
-    of the diameter and every round is materialised.
+    back, so no neighbour list is ever gathered; the edges of a node that holds
+    more than one in HEAVY of them are dealt over SALTS join keys.  Null ends
+    and loops are ignored; nodes without an edge are absent.  Rounds grow with
+    the logarithm of the diameter; each is written, the one before deleted.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
     e = materialise(e)
-    before = None
-    while True:
+    before, state = None, edge_state(e)
+    while state != before:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = with_least(both, 2 * state[0], "v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(low, "u")
-        e = materialise(
+        joined = with_least(down, 2 * state[0])
+        new = materialise(
             joined.select("u", F.col("m").alias("v")).unionByName(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         )
-        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        before = state
+        discard(e)
+        e, before, state = new, state, edge_state(new)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return out.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+HEAVY, SALTS = 500, 64
+
+
+def edge_state(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def with_least(e: DataFrame, most: int, only: str = "true") -> DataFrame:
+    """(u, v, m): the edges where ``only`` holds, with the least neighbour m of u.
+
+    most: a bound of the number of edges.
+    """
+    return with_totals(e, "u", "v", most, F.min("v").alias("m"), only=only)
+
+
+def with_totals(df: DataFrame, key: str, by: str, most: int, *totals: Column, only: str = "true") -> DataFrame:
+    """The rows of ``df`` where ``only`` holds, with totals over all rows of their key.
+
+    most: a bound of the number of rows.  A key with more than one in HEAVY of
+    them is joined over SALTS keys, dealt by column ``by``; at most HEAVY keys
+    are heavy, and the broadcast list of them has that many rows.
+    """
+    low = df.groupBy(key).agg(*totals, F.count("*").alias("__c"))
+    few = F.col("__c") <= F.lit(max(1, most // HEAVY))
+    spread = low.withColumn("__s", F.explode(F.when(few, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1))))).drop("__c")
+    heavy = low.where(~few).select(key, F.lit(SALTS).alias("__n"))
+    dealt = df.where(only).join(F.broadcast(heavy), key, "left").withColumn("__s", F.pmod(F.xxhash64(by), F.coalesce("__n", F.lit(1))).cast("int"))
+    return dealt.join(spread, [key, "__s"]).drop("__s", "__n")

@@ -112,11 +112,37 @@ def test_parity_join_threshold(spark):
     assert Counter(tuple(r) for r in got.collect()) == jaccard(rows)
 
 
-def test_parity_join_blocks(spark, monkeypatch):
-    monkeypatch.setattr(parity_join, "BLOCK", 8)
+@pytest.mark.parametrize("hot", [2, 256])
+def test_parity_join_blocks(spark, monkeypatch, hot):
+    """Clusters cut into blocks, with open members, and keys that count as hot."""
+    monkeypatch.setattr(parity_join, "BLOCK", 4)
+    monkeypatch.setattr(parity_join, "HOT", hot)
     test_parity_join_threshold(spark)
 
 
+def test_parity_join_shared_passage(spark, monkeypatch):
+    """Texts that share most of a passage, some linked and some not, in one cluster of many blocks."""
+    monkeypatch.setattr(parity_join, "BLOCK", 3)
+    monkeypatch.setattr(parity_join, "HOT", 4)
+    passage = [str(w) for w in rng.choice(VOCAB, 60)]
+    rows = [(i, " ".join([str(w) for w in rng.choice(VOCAB, 22)] + passage)) for i in range(12)]
+    rows += [(100 + i, t + " " + str(rng.choice(VOCAB))) for i, t in rows[:5]] + [(200, " ".join(passage)), (None, rows[3][1]), (7, rows[2][1]), (7, rows[2][1])]
+    got = parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter(tuple(r) for r in got.collect()) == jaccard(rows)
+
+
+def test_keep_one_by_id_and_text(spark, none):
+    """A repeated id loses only the text that links; rows without words and clashing columns stay."""
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, c), (None, c), (3, c), (4, None), (4, None), (5, ""), (6, b + " x"), (7, prose(60)), (7, prose(60))]
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, TK string, ident int").repartition(3)
+    out = parity_join.keep_one(docs)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert got == Counter([(1, a), (2, b), (3, c), (4, None), (4, None), (5, ""), *rows[11:]])
+    assert parity_join.keep_one(none).count() == 0
+
+
 def test_segments_hold_the_bound():
     """Every pair of sizes that may link meets in a band with more segments than its largest difference."""
     for n in [*range(1, 60), 100, 333, 1000]:
