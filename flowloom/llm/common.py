@@ -9,6 +9,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -158,6 +159,37 @@ def binary_column(batch, name: str) -> list:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+LAST = np.iinfo(np.int64).max
+
+
+def with_cuts(docs: DataFrame, spans: DataFrame, cut, counts: list[str]) -> DataFrame:
+    """``docs`` with text cut by the spans of its (doc_id, text hash), plus two counts.
+
+    spans: (s_id, s_tk, spans), a null id as LAST; cut(text, spans) gives the
+    new text and the counts.  Null texts stay null with counts 0.
+    """
+    import pyarrow as pa
+
+    extra = result_columns(docs, counts)
+    ident, tk, found = (own_name(docs, n) for n in ("ident", "tk", "found"))
+    full = docs.select(*extra, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias(ident), F.xxhash64("text").alias(tk))
+    full = full.join(spans.select(F.col("s_id"), F.col("s_tk"), F.col("spans").alias(found)), (F.col(ident) == F.col("s_id")) & (F.col(tk) == F.col("s_tk")), "left").select(*extra, found)
+    schema = T.StructType([docs.schema[c] for c in extra] + [T.StructField(c, T.LongType()) for c in counts])
+
+    def run(batches):
+        for batch in batches:
+            texts, n, removed = [], [], []
+            for text, some in zip(binary_column(batch, "text"), batch.column(found).to_pylist()):
+                new, a, b = (None, 0, 0) if text is None else cut(text, some or [])
+                texts.append(None if new is None else new.decode())
+                n.append(a)
+                removed.append(b)
+            cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in extra]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*extra, *counts])
+
+    return full.mapInArrow(run, schema)
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an edge list -> (node, root), root the smallest node.
 

@@ -14,13 +14,15 @@ once, so a run that a third of all documents hold reaches the join once per
 task.
 
 Defined results
+  empty table           no rows
+  very long text        whole
   null text             stays null, counts 0
   empty or blank text   unchanged
   all sentences gone    empty text
   null doc_id           ordered after all others
   rows with equal id and text   one document: each gets the same result
   ties                  same document: the earlier position comes first
-  extra columns         passed through; n_sentences, n_removed are replaced
+  extra columns         passed through; n_sentences, n_removed (in any case) are replaced
 """
 
 from __future__ import annotations
@@ -31,15 +33,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import STEP, U64, Words, binary_column, chunks, mix
+from .common import LAST, STEP, U64, Words, binary_column, chunks, mix, with_cuts
 
 MIN_WORDS, LONE_WORDS = 16, 24
 FLUSH = 500_000
 #: bytes of text for each bin of the global join
 BIN_BYTES = 30_000_000
-LAST = np.iinfo(np.int64).max
 
 
 def sentences(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -183,23 +183,5 @@ def drop_repeats(docs: DataFrame, size_hint: int | None = None) -> DataFrame:
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BIN_BYTES))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text").where("text IS NOT NULL")
     found = scatter(keyed, bins).groupBy("bin").applyInArrow(repeats, "doc_id long, tk long, at long, n long")
-    spans = found.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("at", "n")).alias("__spans")).select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"), "__spans")
-    extra = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    joined = docs.select(*extra, ident.alias("__own"), F.xxhash64("text").alias("__hash"))
-    joined = joined.join(spans, (F.col("__own") == F.col("__id")) & (F.col("__hash") == F.col("__tk")), "left").select(*extra, "__spans")
-    counts = [T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())]
-    schema = T.StructType([docs.schema[c] for c in extra] + counts)
-
-    def run(batches):
-        for batch in batches:
-            texts, n, removed = [], [], []
-            for text, spans in zip(binary_column(batch, "text"), batch.column("__spans").to_pylist()):
-                new, a, b = (None, 0, 0) if text is None else cut(text, spans or [])
-                texts.append(None if new is None else new.decode())
-                n.append(a)
-                removed.append(b)
-            cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in extra]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*extra, "n_sentences", "n_removed"])
-
-    return joined.mapInArrow(run, schema)
+    spans = found.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("at", "n")).alias("spans")).select(F.col("doc_id").alias("s_id"), F.col("tk").alias("s_tk"), "spans")
+    return with_cuts(docs, spans, cut, ["n_sentences", "n_removed"])

@@ -5,24 +5,34 @@ gram with the smallest hash among SPAN neighbouring grams (a minimiser), so two
 copies of a passage select the same positions inside it.
 
 1. The hash of a suffix's first PREFIX words finds the prefixes that occur more
-   than once.  A passage of LEAST words or more has such a position at most
-   SPAN - 1 words from its start, and PREFIX more words inside it.
+   than once.  Every run of LEAST words has such a position among its first
+   SPAN words, and PREFIX more words inside it.
 2. Suffixes with such a prefix carry SPAN words of context on either side.
-   They are sorted by prefix and right context, neighbours are compared, and
-   their match is extended to the right and left.
-3. Neighbours that match in LEAST words or more are one repeat.  Its first
-   occurrence in the order of (doc_id, text hash, position) stays; the matched
-   words of the others are removed from their texts.
-As the selected positions lie at most SPAN words apart inside a passage, the
-extended matches of its suffixes together cover it.
+   They are sorted by prefix and by each way to extend it to LEAST words (k to
+   the left, SPAN - k to the right), and neighbours are compared.  Comparing
+   at every extension is what no third suffix can hide: two copies of LEAST
+   words are neighbours, or have only copies between them, at one of them.
+3. The first occurrence of such a run in the order of (doc_id, text hash,
+   position) stays; the words of all others are removed from their texts.  An
+   occurrence that overlaps the first one in the same text loses only the words
+   beyond it.
+So exactly the runs of LEAST words that occur more than once are found, and
+longer passages as runs that overlap.
+
+A prefix with HOT_LEAST or more suffixes among those that a map task sends off
+at once is hot.  Its suffixes are dealt over all bins in step 1; in step 2 each
+extension goes to a bin of its own, after a map task has resolved all but the
+first occurrence that it sees itself.
 
 Defined results
+  empty table          no rows
   null text            stays null, counts 0
   empty or short text  unchanged
+  very long text       whole
   null doc_id          ordered after all others
   rows with equal id and text   one document: each gets the same result
   ties                 the earlier position stays
-  extra columns        passed through; n_words, n_removed are replaced
+  extra columns        passed through; n_words, n_removed (in any case) are replaced
 """
 
 from __future__ import annotations
@@ -33,15 +43,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import U64, Words, binary_column, chunks, materialise, mix, multipliers, window_hashes
+from .common import LAST, STEP, U64, Words, binary_column, chunks, materialise, mix, multipliers, window_hashes, with_cuts
 
 GRAM, SPAN, LEAST = 8, 16, 50
 PREFIX = LEAST - SPAN
 FLUSH = 400_000
+HOT_LEAST = 64
 BIN_BYTES = 30_000_000
-LAST = np.iinfo(np.int64).max
 TOP = np.iinfo(np.uint64).max
 RECORD = np.dtype([("h", "<u8"), ("right", "<u4", SPAN), ("left", "<u4", SPAN), ("id", "<i8"), ("tk", "<i8"), ("at", "<u4")])
 
@@ -64,24 +73,51 @@ def suffixes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(h), owner[at], at
 
 
+def by_bin(to: np.ndarray, columns: list[np.ndarray]):
+    """(bin, columns) of each bin in ``to``."""
+    order = np.argsort(to, kind="stable")
+    to, columns = to[order], [c[order] for c in columns]
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), to.size).tolist() if to.size else [0]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield int(to[a]), [c[a:b] for c in columns]
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bin", "blob"])
+
+
+def runs_of(x: np.ndarray) -> np.ndarray:
+    """Where the equal entries of a sorted array begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if x.size else np.empty(0, np.int64)
+
+
 def seed_bins(docs: DataFrame, bins: int) -> DataFrame:
-    """(bin, blob) of all selected suffixes."""
+    """(bin, blob) of all selected suffixes.
+
+    A blob: the numbers of its suffixes, of hot ones that were dealt here and
+    of marks (hot prefixes whose own bin this is); then their columns.
+    """
+    hot_least = HOT_LEAST
 
     def pack(h, ids, tks, at):
-        to = (h % U64(bins)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        h, ids, tks, at, to = (x[order] for x in (h, ids, tks, at, to))
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), to.size).tolist()
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            yield int(to[a]), b"".join(x.tobytes() for x in (h[a:b], ids[a:b], tks[a:b], at[a:b].astype(np.uint32)))
+        order = np.argsort(h, kind="stable")
+        h, ids, tks, at = (x[order] for x in (h, ids, tks, at))
+        starts = runs_of(h)
+        count = np.diff(np.append(starts, h.size))
+        hot = np.repeat(count >= hot_least, count)
+        marks = h[starts[count >= hot_least]]
+        spread = mix(h + mix(ids.view(U64) + mix(tks.view(U64) + at.astype(U64))))
+        parts: dict[int, list] = {}
+        for kind, (on, key) in enumerate(((~hot, h), (hot, spread))):
+            for b, cols in by_bin((key[on] % U64(bins)).astype(np.int64), [h[on], ids[on], tks[on], at[on].astype(np.uint32)]):
+                parts.setdefault(b, [(0, b"")] * 3)[kind] = (cols[0].size, b"".join(c.tobytes() for c in cols))
+        for b, (cols,) in by_bin((marks % U64(bins)).astype(np.int64), [marks]):
+            parts.setdefault(b, [(0, b"")] * 3)[2] = (cols.size, cols.tobytes())
+        for b, three in parts.items():
+            yield b, np.array([n for n, _ in three], np.int64).tobytes() + b"".join(x for _, x in three)
 
     def run(batches):
         held, size = [], 0
-
-        def flush():
-            rows = list(pack(*(np.concatenate(x) for x in zip(*held)))) if size else []
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bin", "blob"])
-
         for batch in batches:
             ids = np.array([LAST if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
             tks = batch.column("tk").to_numpy(zero_copy_only=False)
@@ -91,53 +127,142 @@ def seed_bins(docs: DataFrame, bins: int) -> DataFrame:
                 held.append((h, ids[base + owner], tks[base + owner], at - words.first[owner]))
                 size += h.size
                 if size >= FLUSH:
-                    yield flush()
+                    yield batch_of(list(pack(*(np.concatenate(x) for x in zip(*held)))))
                     held, size = [], 0
-        yield flush()
+        yield batch_of(list(pack(*(np.concatenate(x) for x in zip(*held)))) if size else [])
 
     return docs.mapInArrow(run, "bin int, blob binary")
 
 
 def repeated_seeds(table: pa.Table) -> pa.Table:
-    """The suffixes of a bin whose prefix occurs more than once: one row a document."""
-    parts = []
+    """The suffixes of a bin whose prefix occurs more than once: one row a document, ats and hot ones apart."""
+    parts, marks = [], []
     for blob in table.column("blob").to_pylist():
-        n = len(blob) // 28
-        parts.append((np.frombuffer(blob, U64, n), np.frombuffer(blob, np.int64, n, 8 * n), np.frombuffer(blob, np.int64, n, 16 * n), np.frombuffer(blob, np.uint32, n, 24 * n)))
-    h, ids, tks, at = (np.concatenate(x) for x in zip(*parts))
+        n, m, k = np.frombuffer(blob, np.int64, 3).tolist()
+        o = 24
+        for size, hot in ((n, False), (m, True)):
+            cols = [np.frombuffer(blob, t, size, o + w * size) for t, w in ((U64, 0), (np.int64, 8), (np.int64, 16), (np.uint32, 24))]
+            parts.append((*cols, np.full(size, hot)))
+            o += 28 * size
+        marks.append(np.frombuffer(blob, U64, k, o))
+    h, ids, tks, at, hot = (np.concatenate(x) for x in zip(*parts))
+    hot |= np.isin(h, np.concatenate(marks))
     order = np.lexsort((at, tks, ids, h))
-    h, ids, tks, at = (x[order] for x in (h, ids, tks, at))
+    h, ids, tks, at, hot = (x[order] for x in (h, ids, tks, at, hot))
     new = np.ones(h.size, bool)
     new[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]) | (tks[1:] != tks[:-1]) | (at[1:] != at[:-1])
-    h, ids, tks, at = (x[new] for x in (h, ids, tks, at))
+    h, ids, tks, at, hot = (x[new] for x in (h, ids, tks, at, hot))
     _, back, count = np.unique(h, return_inverse=True, return_counts=True)
-    keep = count[back] > 1
+    keep = (count[back] > 1) | hot
     order = np.lexsort((at[keep], tks[keep], ids[keep]))
-    ids, tks, at = (x[keep][order] for x in (ids, tks, at))
-    if not ids.size:
-        return pa.table({"doc_id": ids, "tk": tks, "ats": pa.array([], pa.list_(pa.int64()))})
-    starts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tks[1:] != tks[:-1])]))
-    lists = pa.ListArray.from_arrays(np.append(starts, ids.size).astype(np.int32), at.astype(np.int64))
+    ids, tks, at, hot = (x[keep][order] for x in (ids, tks, at, hot))
+    starts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tks[1:] != tks[:-1])])) if ids.size else np.empty(0, np.int64)
+    lists = pa.ListArray.from_arrays(np.append(starts, ids.size).astype(np.int32), 2 * at.astype(np.int64) + hot)
     return pa.table({"doc_id": ids[starts], "tk": tks[starts], "ats": lists})
 
 
+def extensions(rec: np.ndarray) -> np.ndarray:
+    """For each suffix and k from 0 to SPAN, a hash of the run with k words to the left; zero where the text ends before."""
+    n = rec.size
+    m = multipliers(2 * SPAN, 31)
+    out = np.empty((n, SPAN + 1), U64)
+    right, left = np.zeros((n, SPAN + 1), U64), np.zeros((n, SPAN + 1), U64)
+    for side, words, first in ((right, rec["right"], 0), (left, rec["left"], SPAN)):
+        for j in range(SPAN):
+            side[:, j + 1] = side[:, j] + mix(words[:, j].astype(U64) + STEP) * m[first + j]
+    for k in range(SPAN + 1):
+        out[:, k] = mix(rec["h"] + mix(left[:, k] + STEP * U64(k)) + right[:, SPAN - k])
+        whole = (rec["left"][:, k - 1] != 0 if k else True) & (rec["right"][:, SPAN - k - 1] != 0 if k < SPAN else True)
+        out[~np.broadcast_to(whole, n), k] = 0
+    return out
+
+
+def ordered(rec: np.ndarray) -> np.ndarray:
+    """In the order of (id, tk, at), without repeated entries: rows equal in id and text are one document."""
+    rec = rec[np.lexsort((rec["at"], rec["tk"], rec["id"]))]
+    new = np.ones(rec.size, bool)
+    new[1:] = (rec["at"][1:] != rec["at"][:-1]) | (rec["tk"][1:] != rec["tk"][:-1]) | (rec["id"][1:] != rec["id"][:-1])
+    return rec[new]
+
+
+def first_of(keys: np.ndarray) -> np.ndarray:
+    """For each entry the index of the first entry of its key; entries are in order."""
+    order = np.argsort(keys, kind="stable")
+    starts = runs_of(keys[order])
+    out = np.empty(keys.size, np.int64)
+    out[order] = np.repeat(order[starts], np.diff(np.append(starts, keys.size)))
+    return out
+
+
+def removals(ids, tks, at, first) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of the words that go from each run that begins at ``at``; first: index of the one that stays."""
+    near = (ids == ids[first]) & (tks == tks[first])
+    return np.where(near, np.maximum(at, at[first] + LEAST), at), at + LEAST
+
+
+SPANS = "doc_id long, tk long, a long, b long"
+
+
+def span_table(ids, tks, a, b) -> pa.Table:
+    """Spans, those that touch or overlap in one document joined."""
+    order = np.lexsort((a, tks, ids))
+    ids, tks, a, b = (np.asarray(x)[order].astype(np.int64) for x in (ids, tks, a, b))
+    if not a.size:
+        return pa.table({"doc_id": ids, "tk": tks, "a": a, "b": b})
+    doc = np.concatenate([[True], (ids[1:] != ids[:-1]) | (tks[1:] != tks[:-1])])
+    lift = np.cumsum(doc) * (int(b.max()) + 1)  # so that documents do not meet
+    reach = np.maximum.accumulate(b + lift)
+    new = np.concatenate([[True], (a + lift)[1:] > reach[:-1]])
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], a.size) - 1
+    return pa.table({"doc_id": ids[starts], "tk": tks[starts], "a": a[starts], "b": reach[ends] - lift[ends]})
+
+
+#: one extension of a hot suffix: the run's hash and where it begins; done: not its first occurrence
+POINT = np.dtype([("key", "<u8"), ("id", "<i8"), ("tk", "<i8"), ("at", "<u4"), ("done", "u1")])
+
+
 def context_bins(joined: DataFrame, bins: int) -> DataFrame:
     """(bin, blob) of repeated suffixes with SPAN words on either side.
 
-    Codes have 32 bits; zero stands for no word.
+    Codes have 32 bits; zero stands for no word.  Bins from ``bins`` on hold
+    the extensions of hot suffixes.
     """
 
+    def points(rec: np.ndarray):
+        rec = ordered(rec)
+        keys = extensions(rec)
+        own, k = np.nonzero(keys)
+        point = np.zeros(own.size, POINT)
+        point["key"], point["id"], point["tk"], point["at"] = keys[own, k], rec["id"][own], rec["tk"][own], rec["at"][own] - k
+        point = point[np.lexsort((point["at"], point["tk"], point["id"]))]
+        first = first_of(point["key"])
+        later = first != np.arange(first.size)
+        ids, tks, at = point["id"], point["tk"], point["at"].astype(np.int64)
+        a, b = removals(ids, tks, at, first)
+        gone = span_table(ids[later], tks[later], a[later], b[later])
+        done = np.zeros(gone.num_rows, POINT)  # key holds a span's end
+        for name, col in (("id", "doc_id"), ("tk", "tk"), ("at", "a"), ("key", "b")):
+            done[name] = gone.column(col).to_numpy()
+        done["done"] = 1
+        point = point[~later]
+        every = np.concatenate([point, done])
+        to = mix(np.where(every["done"] == 1, every["tk"].view(U64) + every["key"], every["key"]))
+        for b, (cols,) in by_bin((to % U64(bins)).astype(np.int64), [every]):
+            yield b + bins, cols.tobytes()
+
     def run(batches):
         for batch in batches:
             ids, tks, lists = batch.column("doc_id").to_pylist(), batch.column("tk").to_pylist(), batch.column("ats").to_pylist()
-            rows = []
+            rows, hots = [], []
             for base, texts in chunks(binary_column(batch, "text")):
                 words = Words(texts)
                 codes = words.codes
                 short = np.concatenate([(codes >> U64(32)).astype(np.uint32) | np.uint32(1), [np.uint32(0)]])
                 for i in range(len(texts)):
                     a, b = int(words.first[i]), int(words.first[i + 1])
-                    at = np.unique(np.concatenate([np.array(x, np.int64) for x in lists[base + i]])) + a
+                    both = np.unique(np.concatenate([np.array(x, np.int64) for x in lists[base + i]]))
+                    at = (both >> 1) + a
                     h = np.zeros(at.size, U64)
                     for j, m in enumerate(multipliers(PREFIX, 5)):
                         h += codes[at + j] * m
@@ -147,50 +272,48 @@ def context_bins(joined: DataFrame, bins: int) -> DataFrame:
                     rec["h"], rec["id"], rec["tk"], rec["at"] = mix(h), LAST if ids[base + i] is None else ids[base + i], tks[base + i], at - a
                     rec["left"] = short[np.where(left >= a, left, -1)]
                     rec["right"] = short[np.where(right < b, right, -1)]
-                    rows.append(rec)
-            if not rows:
-                continue
-            rec = np.concatenate(rows)
-            to = (rec["h"] % U64(bins)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            rec, to = rec[order], to[order]
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), to.size).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(to[cuts[:-1]].astype(np.int32)), pa.array([rec[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["bin", "blob"])
+                    rows.append(rec[both & 1 == 0])
+                    hots.append(rec[both & 1 == 1])
+            out = []
+            if rows:
+                rec = np.concatenate(rows)
+                out += [(b, cols.tobytes()) for b, (cols,) in by_bin((rec["h"] % U64(bins)).astype(np.int64), [rec])]
+                out += points(np.concatenate(hots))
+            yield batch_of(out)
 
     return joined.mapInArrow(run, "bin int, blob binary")
 
 
-def extend(table: pa.Table) -> pa.Table:
-    """Sort a bin's suffixes, compare neighbours, extend: word spans to remove."""
-    rec = np.frombuffer(b"".join(table.column("blob").to_pylist()), RECORD)
-    rec = rec[np.lexsort((rec["at"], rec["tk"], rec["id"], rec["h"]))]
-    once = np.ones(rec.size, bool)  # rows equal in id and text are one document
-    once[1:] = np.any([rec[c][1:] != rec[c][:-1] for c in ("h", "id", "tk", "at")], axis=0)
-    rec = rec[once]
-    left, right = rec["left"], rec["right"]
-    order = np.lexsort([left[:, k] for k in range(SPAN - 1, -1, -1)] + [right[:, k] for k in range(SPAN - 1, -1, -1)] + [rec["h"]])
-    rec = rec[order]
-    left, right = rec["left"], rec["right"]
-
-    def common(x: np.ndarray) -> np.ndarray:
-        same = (x[1:] == x[:-1]) & (x[1:] != 0)
-        return np.where(same.all(axis=1), SPAN, np.argmin(same, axis=1))
-
-    l, r = common(left), common(right)
-    match = (rec["h"][1:] == rec["h"][:-1]) & (l + r + PREFIX >= LEAST)
-    group = np.concatenate([[0], np.cumsum(~match)])
-    first = np.lexsort((rec["at"], rec["tk"], rec["id"], group))
-    lead = first[np.concatenate([[True], group[first][1:] != group[first][:-1]])]
-    keeps = np.zeros(rec.size, bool)
-    keeps[lead] = True
-    # its match is the longer one of its two neighbours, each side by itself
-    back, ahead = np.zeros(rec.size, np.int64), np.zeros(rec.size, np.int64)
-    for side, size in ((back, l), (ahead, r)):
-        side[1:] = np.where(match, size, 0)
-        side[:-1] = np.maximum(side[:-1], np.where(match, size, 0))
-    rec, back, ahead = rec[~keeps], back[~keeps], ahead[~keeps]
-    at = rec["at"].astype(np.int64)
-    return pa.table({"doc_id": np.ascontiguousarray(rec["id"]), "tk": np.ascontiguousarray(rec["tk"]), "a": at - back, "b": at + PREFIX + ahead})
+def extend(table: pa.Table, bins: int) -> pa.Table:
+    """Sort a bin's suffixes at every extension and compare neighbours: word spans to remove."""
+    blob = b"".join(table.column("blob").to_pylist())
+    if table.column("bin")[0].as_py() >= bins:
+        point = np.frombuffer(blob, POINT)
+        done = point[point["done"] == 1]
+        point = ordered_points(point[point["done"] == 0])
+        ids, tks, at = point["id"], point["tk"], point["at"].astype(np.int64)
+        first = first_of(point["key"])
+        on = first != np.arange(first.size)
+        a, b = removals(ids, tks, at, first)
+        parts = [(ids[on], tks[on], a[on], b[on]), (done["id"], done["tk"], done["at"].astype(np.int64), done["key"].astype(np.int64))]
+    else:
+        rec = ordered(np.frombuffer(blob, RECORD))
+        keys, ids, tks = extensions(rec), rec["id"], rec["tk"]
+        parts = []
+        for k in range(SPAN + 1):
+            at, key = rec["at"].astype(np.int64) - k, keys[:, k]
+            first = first_of(key)
+            on = (first != np.arange(first.size)) & (key != 0)
+            a, b = removals(ids, tks, at, first)
+            parts.append((ids[on], tks[on], a[on], b[on]))
+    return span_table(*(np.concatenate(x) for x in zip(*parts)))
+
+
+def ordered_points(point: np.ndarray) -> np.ndarray:
+    point = point[np.lexsort((point["key"], point["at"], point["tk"], point["id"]))]
+    new = np.ones(point.size, bool)
+    new[1:] = np.logical_or.reduce([point[c][1:] != point[c][:-1] for c in ("id", "tk", "at", "key")])
+    return point[new]
 
 
 def cut(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
@@ -222,23 +345,6 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     found = seed_bins(keyed, bins).groupBy("bin").applyInArrow(repeated_seeds, "doc_id long, tk long, ats array<long>")
     seeds = found.groupBy("doc_id", "tk").agg(F.collect_list("ats").alias("ats"))
     joined = keyed.join(seeds, ["doc_id", "tk"]).select("doc_id", "tk", "text", "ats")
-    cuts = context_bins(joined, bins).groupBy("bin").applyInArrow(extend, "doc_id long, tk long, a long, b long")
-    spans = materialise(cuts.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("a", "b")).alias("__spans")).select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"), "__spans"))
-    extra = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    full = docs.select(*extra, ident.alias("__own"), F.xxhash64("text").alias("__hash"))
-    full = full.join(spans, (F.col("__own") == F.col("__id")) & (F.col("__hash") == F.col("__tk")), "left").select(*extra, "__spans")
-    schema = T.StructType([docs.schema[c] for c in extra] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-
-    def run(batches):
-        for batch in batches:
-            texts, n, removed = [], [], []
-            for text, found in zip(binary_column(batch, "text"), batch.column("__spans").to_pylist()):
-                new, a, b = (None, 0, 0) if text is None else cut(text, found or [])
-                texts.append(None if new is None else new.decode())
-                n.append(a)
-                removed.append(b)
-            cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in extra]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*extra, "n_words", "n_removed"])
-
-    return full.mapInArrow(run, schema)
+    cuts = context_bins(joined, bins).groupBy("bin").applyInArrow(lambda t: extend(t, bins), SPANS)
+    spans = materialise(cuts.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("a", "b")).alias("spans")).select(F.col("doc_id").alias("s_id"), F.col("tk").alias("s_tk"), "spans"))
+    return with_cuts(docs, spans, cut, ["n_words", "n_removed"])

@@ -284,15 +284,59 @@ def repeated(rows, n):
     return {g: v for g, v in seen.items() if len(v) > 1}
 
 
-def test_sparse_suffix(spark, docs, none):
-    out = [(r.doc_id, r.text, r.n_removed) for r in sparse_suffix.drop_repeats(docs).collect()]
-    assert len(out) == len(TEXTS) and sparse_suffix.drop_repeats(none).count() == 0
-    new = [(i, t) for i, t, _ in out]
-    assert not repeated(new, 50)
-    assert (1, BASE) in new and (11, dict(TEXTS)[11]) in new and dict(new)[2] == ""
-    touched = {i for v in repeated(TEXTS, 50).values() for i, _, _ in v}
-    assert all(n == 0 for i, _, n in out if i not in touched)
-    assert Counter((i, t) for i, t in new if i not in touched) == Counter((i, t) for i, t in TEXTS if i not in touched)
+def runs_gone(rows):
+    """(id, text) to the words that go: 50-word runs other than their first occurrence, which they leave whole."""
+    at = {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, TK[r[1]])):
+        w = words(t)
+        for k in range(len(w) - 49):
+            at.setdefault(tuple(w[k : k + 50]), []).append((i, t, k))
+    gone = {r: set() for r in rows}
+    for v in at.values():
+        i, t, f = v[0]
+        for j, u, k in v[1:]:
+            gone[(j, u)].update(range(max(k, f + 50) if (i, t) == (j, u) else k, k + 50))
+    return gone
+
+
+TK = {}
+
+
+def check_suffixes(spark, rows, docs=None):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3) if docs is None else docs
+    TK.update({r.text: r.tk for r in docs.select("text", F.xxhash64("text").alias("tk")).collect()})
+    gone = runs_gone(rows)
+    want = Counter((i, " ".join(x for k, x in enumerate(words(t)) if k not in gone[(i, t)]), len(gone[(i, t)])) for i, t in rows)
+    got = sparse_suffix.drop_repeats(docs).collect()
+    assert Counter((r.doc_id, " ".join(words(r.text)), r.n_removed) for r in got) == want
+    return got
+
+
+@pytest.mark.parametrize("hot", [3, 64])
+def test_sparse_suffix(spark, docs, none, monkeypatch, hot):
+    monkeypatch.setattr(sparse_suffix, "HOT_LEAST", hot)
+    got = check_suffixes(spark, TEXTS, docs)
+    assert sparse_suffix.drop_repeats(none).count() == 0
+    new = {(r.doc_id, r.text) for r in got}
+    assert {(1, BASE), (2, ""), (5, None), (7, "  \n "), (11, dict(TEXTS)[11])} <= new
+
+
+@pytest.mark.parametrize("hot", [3, 64])
+def test_sparse_suffix_partial_sharers(spark, monkeypatch, hot):
+    """Documents that share fewer than 50 words of a passage hide none of its copies."""
+    monkeypatch.setattr(sparse_suffix, "HOT_LEAST", hot)
+    rows = []
+    for k in range(25):
+        p = prose(50).split()
+        for j in range(2):
+            rows.append((len(rows), " ".join(prose(15).split() + p + prose(15).split())))
+        for _ in range(6):
+            a = int(rng.integers(0, 13))
+            rows.append((len(rows), " ".join(prose(15).split() + p[a : a + 38] + prose(15).split())))
+    period = prose(20).split()
+    rows += [(1000 + k, " ".join(period * (4 + k) + prose(10).split())) for k in range(3)]
+    rows += [(None, rows[3][1]), rows[4], rows[4]]
+    check_suffixes(spark, rows)
 
 
 def test_sentence_spans(spark, docs, none):
