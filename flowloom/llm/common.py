@@ -159,6 +159,25 @@ def binary_column(batch, name: str) -> list:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+#: 64-bit words of a sieve: its most rows
+SIEVE_WORDS = 1 << 18
+
+
+def sieve(df: DataFrame, wanted: DataFrame, *key: str, words: int | None = None) -> DataFrame:
+    """The rows of ``df`` whose key may be among those of ``wanted``.
+
+    A bitmap of hashed keys, at most ``words`` rows however many are wanted, is
+    broadcast.  It never drops a wanted row; a fuller bitmap lets more of the
+    other rows through, for the exact join that follows.
+    """
+    words = words or SIEVE_WORDS
+    spot = F.pmod(F.xxhash64(*key), F.lit(64 * words))
+    bit = F.expr("shiftleft(1L, cast(__spot % 64 AS int))")
+    bits = wanted.select(spot.alias("__spot")).groupBy(F.shiftright("__spot", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    placed = df.withColumn("__spot", spot).withColumn("__word", F.shiftright("__spot", 6))
+    return placed.join(F.broadcast(bits), "__word").where(F.col("__bits").bitwiseAND(bit) != 0).drop("__spot", "__word", "__bits")
+
+
 LAST = np.iinfo(np.int64).max
 
 

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP, U64, Words, binary_column, chunks, components, discard, materialise, mix, multipliers, own_name, window_hashes, with_least, with_totals
+from .common import STEP, U64, Words, binary_column, chunks, components, discard, materialise, mix, multipliers, own_name, sieve, window_hashes, with_least, with_totals
 
 SHINGLE = 5
 #: keys that a map task gathers before it sends them off, and keys per bin of the key join
@@ -59,8 +59,6 @@ HOT = 256
 #: nodes and shingles of a block
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 BITS = 2048
-#: 64-bit words of the filter that spares texts without a candidate the shuffle: its most rows
-FILTER_WORDS = 1 << 18
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -316,20 +314,6 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], label: np.ndarray | None =
     return out
 
 
-def marked(docs: DataFrame, cand: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, tk, text) that may be in cand (doc_id, tk).
-
-    A bitmap of hashed keys, at most FILTER_WORDS rows however many candidates
-    there are, is broadcast.  It never drops a candidate; a fuller bitmap lets
-    more of the other rows through to the exact join.
-    """
-    spot = F.pmod(F.xxhash64("doc_id", "tk"), F.lit(64 * FILTER_WORDS))
-    bit = F.expr("shiftleft(1L, cast(spot % 64 AS int))")
-    words = cand.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    placed = docs.withColumn("spot", spot).withColumn("word", F.shiftright("spot", 6))
-    return placed.join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit) != 0).select("doc_id", "tk", "text")
-
-
 def member_sets(docs: DataFrame, cand: DataFrame) -> DataFrame:
     """cand (node, root, blocks, comp, doc_id, tk) with the members' shingle sets."""
     names = ["node", "root", "blocks", "comp"]
@@ -347,7 +331,7 @@ def member_sets(docs: DataFrame, cand: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.binary())], names=[*names, "shingles"])
 
     c = cand.select(*names, F.col("doc_id").alias("c_id"), F.col("tk").alias("c_tk"))
-    full = marked(docs, cand).join(c, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("tk") == F.col("c_tk"))).select(*names, "text")
+    full = sieve(docs, cand, "doc_id", "tk").join(c, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("tk") == F.col("c_tk"))).select(*names, "text")
     return full.mapInArrow(run, "node long, root long, blocks int, comp long, shingles binary")
 
 

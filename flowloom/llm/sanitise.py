@@ -25,10 +25,10 @@ Defined results
   very long text       whole; patterns are possessive, so they are linear
   ties                 spans are ordered by start, then kind (email, ip, card,
                        phone, term), then end
-  repeated rows        each row is returned; for entities and their surroundings
-                       rows equal in id and text count once, in P(t) and the
-                       document total every row counts
-  extra columns        passed through; result columns are replaced
+  repeated rows        each row is returned, and counts in P(t), P(e), P(e|t) and
+                       the document total; surroundings count distinct ones
+  empty table          no rows
+  extra columns        passed through; base and found (in any case) are replaced
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise, result_columns, sieve
 
 #: fixed values: the base patterns, written so that they neither backtrack nor recurse
 KINDS = ("email", "ip", "card", "phone")
@@ -129,31 +129,32 @@ def entities_of(spans: Column) -> Column:
 
 
 def surroundings(hits: DataFrame) -> DataFrame:
-    """Sentences with base spans: (id, tk, entities, around, terms), one row for each.
+    """Sentences with base spans: (id, tk, copies, entities, around, terms), one row for each.
 
-    hits: (id, tk, text) of documents with base spans.
+    hits: (id, tk, text, copies) of documents with base spans and the rows that hold them.
     """
-    lines = hits.select("id", "tk", F.explode(F.split("text", BREAK)).alias("text"))
+    lines = hits.select("id", "tk", "copies", F.explode(F.split("text", BREAK)).alias("text"))
     lines = lines.withColumn("__digits", F.col("text").rlike("[0-9]"))
     lines = lines.where(F.col("__digits") | F.contains("text", F.lit("@"))).withColumn("x", base_spans(F.col("text"))).where(F.size("x") > 0)
     # a word that touches a span is no term
     words = F.filter(terms_of(masked(F.col("text"), F.col("x"), F.lit(MARK))), lambda w: ~F.contains(w, F.lit("\x01")))
-    return lines.select("id", "tk", entities_of(F.col("x")).alias("entities"), F.xxhash64("text").alias("around"), words.alias("terms"))
+    return lines.select("id", "tk", "copies", entities_of(F.col("x")).alias("entities"), F.xxhash64("text").alias("around"), words.alias("terms"))
 
 
 def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term) of the terms that disclose an entity, over all documents."""
-    held = near.select("id", "tk", "around", "terms", F.explode("entities").alias("entity"))
-    doc = F.struct("id", "tk")
-    entities = materialise(held.groupBy("entity").agg(F.countDistinct("around").alias("all_places"), F.countDistinct(doc).alias("with_entity")).where(F.col("all_places") >= min(RARE, support)))
-    each = held.join(entities.select("entity"), "entity").select("id", "tk", "around", "entity", F.explode("terms").alias("term"))
-    pairs = each.groupBy("entity", "term").agg(F.countDistinct("around").alias("places"), F.countDistinct(doc).alias("both"))
-    pairs = materialise(pairs.join(entities, "entity").where(F.col("places") >= F.least(F.lit(support), F.col("all_places"))))
+    held = near.select("id", "tk", "copies", "around", "terms", F.explode("entities").alias("entity"))
+    rows = lambda df, *key: df.select(*key, "id", "tk", "copies").distinct().groupBy(*key)
+    places = held.groupBy("entity").agg(F.countDistinct("around").alias("all_places")).where(F.col("all_places") >= min(RARE, support))
+    entities = materialise(places.join(rows(held, "entity").agg(F.sum("copies").alias("with_entity")), "entity"))
+    each = held.join(entities.select("entity"), "entity").select("id", "tk", "copies", "around", "entity", F.explode("terms").alias("term"))
+    places = each.groupBy("entity", "term").agg(F.countDistinct("around").alias("places")).join(entities, "entity").where(F.col("places") >= F.least(F.lit(support), F.col("all_places")))
+    pairs = materialise(places.join(rows(each, "entity", "term").agg(F.sum("copies").alias("both")), ["entity", "term"]))
     total = docs.count()
     if not total or pairs.isEmpty():
         return pairs.select("entity", "term").limit(0)
-    wanted = pairs.select("term").distinct()
-    words = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("with_term"))
+    # few words pass the sieve, and their counts are summed before the exact join
+    words = sieve(docs.select(F.explode(terms_of(F.col("text"))).alias("term")), pairs, "term").groupBy("term").agg(F.count("*").alias("with_term"))
     n = F.lit(float(total))
     pmi = F.log2(F.col("both") / F.col("with_term") / (F.col("with_entity") / n))
     return pairs.join(words, "term").where(pmi >= F.lit(disclosure) * F.log2(n / F.col("with_entity"))).select("entity", "term")
@@ -186,18 +187,18 @@ def sanitise(docs: DataFrame) -> DataFrame:
     kinds).  Text is scanned once for the spans; only documents with a
     disclosed term are joined again.
     """
-    extra = [c for c in docs.columns if c not in ("base", "found")]
+    extra = result_columns(docs, ["base", "found"])
     keyed = docs.select(F.struct(*extra).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tk"), "text")
     none = F.expr("cast(array() AS array<struct<s:int,k:int,e:int,v:string>>)")
     keyed = keyed.withColumn("__digits", F.coalesce(F.col("text").rlike("[0-9]"), F.lit(False)))
     keyed = keyed.withColumn("base", F.when(F.col("text").isNotNull() & (F.col("__digits") | F.contains("text", F.lit("@"))), base_spans(F.col("text"))).otherwise(none))
-    hits = keyed.where(F.size("base") > 0).select("id", "tk", "text").dropDuplicates(["id", "tk"])
+    hits = keyed.where(F.size("base") > 0).groupBy("id", "tk").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     near = materialise(surroundings(hits))
     told = materialise(disclosing(docs, near).select("term").distinct())
     if told.isEmpty():
         terms = told.select("term").limit(0)
     else:
-        words = keyed.select("id", "tk", F.explode(terms_of(F.col("text"))).alias("term")).join(told, "term", "left_semi")
+        words = sieve(keyed.select("id", "tk", F.explode(terms_of(F.col("text"))).alias("term")), told, "term").join(told, "term", "left_semi")
         terms = materialise(words.groupBy(F.col("id").alias("t_id"), F.col("tk").alias("t_tk")).agg(F.collect_set("term").alias("terms")))
     if terms.isEmpty():
         joined = keyed.withColumn("terms", F.expr("cast(null AS array<string>)"))
