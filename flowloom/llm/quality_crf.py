@@ -4,13 +4,21 @@
 of the method: Viterbi decoding labels each line that holds a word, and the
 share of words in content lines decides whether the document is kept.
 
+Labels are given for documents, not lines, so the fit has two steps.  Every
+line first takes its document's label and a classifier of single lines is
+fitted.  In documents of quality 0 the lines that it reads as content then
+change sides, and the CRF is fitted on these chains and on chains spliced of a
+good and a bad document, so that its transitions have seen labels switch.
+
 Defined results
+  empty table          no rows
   null or empty text   counts 0, content_share 0, base_failed and not kept
   no line with a word  as empty
   very long text       processed whole
   ties in Viterbi      content wins
+  nothing to learn     fixed weights
   repeated rows        each row gets its own (equal) result
-  extra columns        passed through; columns named like a result are replaced
+  extra columns        passed through; columns named like a result (in any case) are replaced
 """
 
 from __future__ import annotations
@@ -23,15 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SOLID, STEP, Words, binary_column, chunks, mix, window_hashes
+from .common import SOLID, STEP, Words, binary_column, chunks, mix, result_columns, window_hashes
 
 #: fixed values of the base rules
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: documents the CRF is fitted on (a bounded sample of the labelled rows)
 TRAIN_DOCS = 800
-#: most lines of a document that the fit uses
-TRAIN_LINES = 30
+#: lines of a chain of the fit (documents are cut into chains, to the end), and chains, picked by hash
+CHAIN_LINES, TRAIN_CHAINS = 40, 4000
 #: least share of words in content lines
 CONTENT_SHARE = 0.5
 
@@ -167,12 +175,41 @@ def fit(chains: list[tuple[np.ndarray, np.ndarray]], steps: int = 80, rate: floa
     return {"w": par[0].tolist(), "start": par[1].tolist(), "trans": par[2].tolist()}
 
 
+def line_weights(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.5, decay: float = 1e-3) -> np.ndarray:
+    """Logistic weights of single lines, both labels counting the same."""
+    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    w, seen = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
+    for _ in range(steps):
+        g = x.T @ ((y - 1 / (1 + np.exp(-x @ w))) * share) - decay * w
+        seen += g * g
+        w += rate * g / np.sqrt(seen)
+    return w
+
+
+def line_labels(chains: list[tuple[np.ndarray, int]], seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Chains with a label for each line, and as many spliced of a good and a bad one."""
+    x, y = np.concatenate([f for f, _ in chains]), np.concatenate([np.full(len(f), q) for f, q in chains])
+    w = line_weights(x, y) if 0 < y.mean() < 1 else np.zeros(x.shape[1])
+    out = [(f, np.ones(len(f), int) if q else (f @ w > 0).astype(int)) for f, q in chains]
+    good, bad = ([c for c, (_, q) in zip(out, chains) if q == k] for k in (1, 0))
+    # of the bad ones only their boilerplate is spliced
+    bad = [(f[lab == 0], lab[lab == 0]) for f, lab in bad if (lab == 0).any()]
+    if not good or not bad:
+        return out
+    rng = np.random.default_rng(seed)
+    for _ in range(len(out)):
+        (f, lab), (g, low) = good[rng.integers(len(good))], bad[rng.integers(len(bad))]
+        at, n = int(rng.integers(len(f) + 1)), 1 + int(rng.integers(len(g)))
+        g, low = g[:n], low[:n]
+        out.append((np.concatenate([f[:at], g, f[at:]]), np.concatenate([lab[:at], low, lab[at:]])))
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> dict:
     """Fit the CRF on at most ``limit`` labelled documents, taken in hash order.
 
-    The lines of a document of quality 1 count as content, those of quality 0
-    as boilerplate.  At most TRAIN_LINES lines of a sampled
-    document are used.
+    Their lines become features in the executors; at most TRAIN_CHAINS chains
+    of CHAIN_LINES lines, picked by hash, reach the driver.
     """
     picked = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -183,26 +220,38 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> dict:
     )
     if not picked:
         return fit([])
-    quality = {r.doc_id: r.quality for r in picked}
-    rows = docs.where(F.col("doc_id").isin(list(quality))).select(F.col("doc_id").cast("long"), F.col("text")).where("text IS NOT NULL").orderBy("doc_id", F.xxhash64("text")).limit(2 * limit).toLocalIterator()
-    chains = []
-    for doc_id, text in rows:
-        feats, _, _ = document_lines(text.encode())
-        if feats:
-            feats = feats[:TRAIN_LINES]
-            chains.append((np.array(feats), np.full(len(feats), quality[doc_id])))
-    return fit(chains)
+    known = {r.doc_id: r.quality for r in picked}
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), binary_column(batch, "text")):
+                feats = document_lines(text)[0]
+                for k in range(0, len(feats), CHAIN_LINES):
+                    rows.append((doc_id, k, np.array(feats[k : k + CHAIN_LINES], np.float32).tobytes()))
+            cols = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["doc_id", "k", "feats"])
+
+    texts = docs.where(F.col("doc_id").isin(list(known)) & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = texts.mapInArrow(run, "doc_id long, k long, feats binary").orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k", "feats").limit(TRAIN_CHAINS).collect()
+    chains = [(np.frombuffer(r.feats, np.float32).reshape(-1, N_FEATURES).astype(float), known[r.doc_id]) for r in rows]
+    return fit(line_labels(chains)) if chains else fit([])
+
+
+def content_lines(feats: list[list[float]], model: dict) -> list[int]:
+    """1 (content) or 0 (boilerplate) for each line of a document."""
+    return viterbi((np.array(feats) @ np.asarray(model["w"])).tolist(), model["start"], model["trans"]) if feats else []
 
 
 def quality(docs: DataFrame, model: dict, share: float = CONTENT_SHARE) -> DataFrame:
     """All columns of ``docs`` plus RESULT.  Map-only: no shuffle."""
     names = [f.name for f in RESULT]
-    extra = [c for c in docs.columns if c not in names]
+    extra = result_columns(docs, names)
     schema = T.StructType([docs.schema[c] for c in extra] + RESULT.fields)
     model = json.loads(json.dumps(model))
 
     def run(batches):
-        w, start, trans = np.array(model["w"]), model["start"], model["trans"]
+        fitted = model | {"w": np.array(model["w"])}
         types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.int64(), pa.bool_()]
         for batch in batches:
             out = []
@@ -217,7 +266,7 @@ def quality(docs: DataFrame, model: dict, share: float = CONTENT_SHARE) -> DataF
                         continue
                     feats, sizes, dup = document_lines(text)
                     failed = n < MIN_WORDS or 100 * again > MAX_REPEAT_PERCENT * n
-                    labels = viterbi((np.array(feats) @ w).tolist(), start, trans)
+                    labels = content_lines(feats, fitted)
                     content = sum(s for s, k in zip(sizes, labels) if k) / n
                     out.append((n, len(text.decode()) - blank, symbols, dup, again, failed, content, sum(labels), not failed and content >= share))
             cols = [pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types]
