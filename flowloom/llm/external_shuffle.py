@@ -2,20 +2,24 @@
 
 Pass 1 scatters the records uniformly over buckets of about BUCKET_BYTES by a
 seeded hash; pass 2 loads one bucket at a time, puts it into a Fisher-Yates
-order and hands its rows on.  A row's place is its bucket's offset plus its
-place there; place mod shards is the shard, so shard sizes differ by one row
-at most (law ``rows``), and place div shards is its slot.
+order and writes it.  A row's place is its bucket's offset plus its place
+there; place mod shards is the shard, so shard sizes differ by one row at most
+(law ``rows``), and place div shards is its slot.
 
 Equal rows are told apart by their count within an input partition, so a row
-repeated often spreads over buckets too.  The offsets (one number for each
-bucket, that is for every BUCKET_BYTES of data) pass through the driver.
+repeated often spreads over buckets too.  The sizes of the buckets are read
+from what pass 2 wrote, so they fit it even where a task ran twice.  The
+offsets (one number for each bucket, that is for every BUCKET_BYTES of data)
+pass through the driver.
 
 Defined results
+  empty table          no rows
   null or empty text   size 1
+  very long text       whole; a bucket holds it beside its other rows
   null doc_id          hashed like a value
   ties                 equal rows are interchangeable
-  empty table          no rows
-  extra columns        passed through; result columns are replaced
+  repeated rows        each has a place of its own
+  extra columns        passed through; shard and slot (in any case) are replaced
 """
 
 from __future__ import annotations
@@ -28,54 +32,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, mix
+from .common import U64, materialise, mix, own_name, result_columns
 
 BUCKET_BYTES = 64_000_000
 
 
-def scatter(df: DataFrame, buckets: int, seed: int) -> DataFrame:
-    """``df`` plus __bucket and __order, a seeded 64-bit hash."""
-    hashed = df.withColumn("__row", F.xxhash64(F.lit(seed), *df.columns))
+def scatter(df: DataFrame, buckets: int, seed: int, bucket: str, order: str) -> DataFrame:
+    """``df`` plus two columns of the given names: the bucket and a seeded 64-bit hash."""
+    hashed = df.withColumn(order, F.xxhash64(F.lit(seed), *df.columns))
     names = df.columns
-    schema = T.StructType([*df.schema.fields, T.StructField("__bucket", T.IntegerType()), T.StructField("__order", T.LongType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(bucket, T.IntegerType()), T.StructField(order, T.LongType())])
 
     def run(batches):
         times: dict[int, int] = {}
         for batch in batches:
-            rows = batch.column("__row").to_pylist()
+            rows = batch.column(order).to_pylist()
             nth = np.empty(len(rows), U64)
             for i, r in enumerate(rows):
                 nth[i] = times[r] = times.get(r, -1) + 1
             h = mix(mix(np.array(rows, np.int64).view(U64)) + nth)
-            bucket = ((h >> U64(32)) * U64(buckets)) >> U64(32)
-            cols = [batch.column(c) for c in names] + [pa.array(bucket.astype(np.int32)), pa.array(h.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "__bucket", "__order"])
+            to = ((h >> U64(32)) * U64(buckets)) >> U64(32)
+            cols = [batch.column(c) for c in names] + [pa.array(to.astype(np.int32)), pa.array(h.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, bucket, order])
 
     return hashed.mapInArrow(run, schema)
 
 
 def shuffle(df: DataFrame, shards: int = 16, seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``df`` plus shard and slot."""
+    """``df`` plus shard and slot, from the buckets that pass 2 wrote into the shared folder."""
     spark = df.sparkSession
-    df = df.select([c for c in df.columns if c not in ("shard", "slot")])
+    df = df.select(result_columns(df, ["shard", "slot"]))
     width = F.octet_length("text") if "text" in df.columns else F.lit(100)
     total = df.agg(F.sum(F.coalesce(width, F.lit(0)) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / bucket_bytes))
-    dealt = scatter(df, buckets, seed)
-    counts = {r[0]: r[1] for r in dealt.groupBy("__bucket").count().toLocalIterator()}
-    sizes = np.array([counts.get(b, 0) for b in range(buckets)], np.int64)
-    offsets = np.cumsum(sizes) - sizes
-    names = df.columns
+    names, bucket, place = df.columns, own_name(df, "bucket"), own_name(df, "place")
 
     def permute(table: pa.Table) -> pa.Table:
-        bucket = table.column("__bucket")[0].as_py()
-        table = table.take(np.argsort(table.column("__order").to_numpy(), kind="stable"))
-        table = table.take(np.random.default_rng([seed, bucket]).permutation(table.num_rows)).select(names)
-        place = offsets[bucket] + np.arange(table.num_rows)
-        return table.append_column("shard", pa.array((place % shards).astype(np.int32))).append_column("slot", pa.array(place // shards))
-
-    schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return dealt.groupBy("__bucket").applyInArrow(permute, schema)
+        table = table.take(np.argsort(table.column(place).to_numpy(), kind="stable"))
+        table = table.take(np.random.default_rng([seed, table.column(bucket)[0].as_py()]).permutation(table.num_rows))
+        return table.select([*names, bucket]).append_column(place, pa.array(np.arange(table.num_rows)))
+
+    dealt = scatter(df, buckets, seed, bucket, place)
+    written = materialise(dealt.groupBy(bucket).applyInArrow(permute, T.StructType(dealt.schema.fields)))
+    sizes = np.zeros(buckets, np.int64)
+    for b, n in written.groupBy(bucket).count().toLocalIterator():
+        sizes[b] = n
+    offset = own_name(df, "offset")
+    offsets = spark.createDataFrame([(b, o) for b, o in enumerate((np.cumsum(sizes) - sizes).tolist()) if sizes[b]], f"`{bucket}` int, `{offset}` long")
+    at = F.col(offset) + F.col(place)
+    # one row for every BUCKET_BYTES of data
+    return written.join(F.broadcast(offsets), bucket).select(*names, (at % shards).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot"))
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
