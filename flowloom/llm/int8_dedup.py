@@ -19,7 +19,8 @@ Defined results
   repeated rows        each is a vector: equal rows link with each other
   ties                 component_id is the smallest vec_id
   empty table          no rows
-  extra columns        ignored
+  extra columns        ignored, whatever their names
+  long vectors         whole; a tile holds 2 * BLOCK vectors
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ def tile_links(x: np.ndarray, first: int, threshold: float, within: bool):
 
     x: rows of both blocks, the first block in front; within: one block with itself.
     """
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # else squares of tiny or huge components are lost
     norm = np.linalg.norm(x, axis=1)
     codes, scale, error = quantise(x / norm[:, None])
     wide = np.float32 if x.shape[1] * 127 * 127 < 2**24 else np.float64  # whole numbers stay exact
