@@ -8,8 +8,12 @@ tree indexed by remaining capacity finds in log(window) steps.
 Pieces are packed in groups of about GROUP pieces dealt by a hash, so memory is
 bounded and groups run in parallel; a group of thousands of pieces loses well
 under one percent to padding.  Only lengths and checksums are shuffled, no ids.
+Equal pieces are told apart by their count within an input partition, so rows
+that repeat often spread over the groups.
 
 Defined results
+  empty table          no rows
+  very long text       whole: full windows and a rest
   null or empty text   the closing id alone
   null doc_id          a document like any other
   ties                 equal lengths go in the order of (doc_id, checksum)
@@ -30,13 +34,18 @@ from .bpe import shared_coder
 from .common import binary_column, chunks, materialise
 
 WINDOW, CLOSE, GROUP = 4096, 2, 8192
+PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, close: int = CLOSE) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): full windows and the rest of every document."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, nth): full windows and the rest of every document.
+
+    nth counts equal pieces within an input partition.
+    """
 
     def run(batches):
         coder = shared_coder(vocabulary)
+        times: dict[int, int] = {}
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             texts = binary_column(batch, "text")
@@ -46,11 +55,14 @@ def token_pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, close:
                     full = np.append(got, np.uint32(close)).astype("<u4")
                     for s in range(0, full.size, window):
                         piece = full[s : s + window]
-                        rows.append((doc, s, piece.size, zlib.crc32(piece.tobytes()), full.size))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                        crc = zlib.crc32(piece.tobytes())
+                        same = hash((doc, s, crc))
+                        times[same] = nth = times.get(same, -1) + 1
+                        rows.append((doc, s, piece.size, crc, full.size, nth))
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[*PIECE, "nth"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*PIECE, "nth"]))
 
 
 class Rooms:
@@ -105,7 +117,7 @@ def best_fit(lengths: list[int], window: int) -> list[tuple[int, int]]:
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """``pieces`` plus sequence_id and offset.
+    """``pieces`` (as token_pieces gives them, without nth) plus sequence_id and offset.
 
     A sequence's id is its group's number times 2^32 plus its number there.
     """
@@ -119,9 +131,8 @@ def pack(pieces: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFra
         table = table.append_column("sequence_id", pa.array([base + s for s, _ in placed], pa.int64()))
         return table.append_column("offset", pa.array([o for _, o in placed], pa.int64())).drop_columns(["grp"])
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    dealt = pieces.select(*names, F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(groups)).alias("grp"))
-    return dealt.groupBy("grp").applyInArrow(run, ", ".join(f"{c} long" for c in [*names, "sequence_id", "offset"]))
+    dealt = pieces.select(*PIECE, F.pmod(F.xxhash64("doc_id", "ids_crc32", "start", "nth"), F.lit(groups)).alias("grp"))
+    return dealt.groupBy("grp").applyInArrow(run, ", ".join(f"{c} long" for c in [*PIECE, "sequence_id", "offset"]))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, close: int = CLOSE) -> DataFrame:
