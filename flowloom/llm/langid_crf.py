@@ -8,6 +8,7 @@ document takes the language with the largest mean posterior, which is its
 score.  Chains are the lines of a text, cut every CHAIN words.
 
 Defined results
+  empty table            no rows
   null text, no letter   ``und`` with score 0
   nothing to learn from  ``und`` with score 0
   very long text         whole
@@ -30,16 +31,18 @@ from pyspark.sql import functions as F
 
 from .common import binary_column, chunks
 
-#: bounded training sample: documents, and characters used of each
-TRAIN_DOCS, TRAIN_CHARS = 800, 3000
+#: bounded training sample: documents, and lines picked by hash from all over their texts
+TRAIN_DOCS, TRAIN_LINES = 800, 8000
 DIM, LEXICON, CHAIN, CACHE = 1 << 15, 4000, 96, 200_000
+#: bytes of the words that a worker remembers
+CACHE_BYTES = 16_000_000
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
 
 
 def features(word: str, lexicon: dict[str, int]) -> np.ndarray:
     """Indices of a lower-case word's features."""
     parts = [f"^{word[:n]}" for n in (1, 2, 3)] + [f"{word[-n:]}$" for n in (1, 2, 3)]
-    parts += [word[i : i + n] for n in (2, 3) for i in range(len(word) - n + 1)][:60]
+    parts += [word[i : i + n] for n in (2, 3) for i in range(len(word) - n + 1)]
     out = [zlib.crc32(p.encode()) % DIM for p in parts]
     if word in lexicon:
         out.append(DIM + lexicon[word])
@@ -174,9 +177,12 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> dict | None:
     picked = [r[0] for r in labelled.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(limit).collect()]
     if not picked:
         return None
-    texts = labelled.where(F.col("doc_id").isin(picked)).select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang")
-    rows = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(limit).collect()
-    return fit([(r.text, r.lang) for r in rows])
+    lines = labelled.where(F.col("doc_id").isin(picked)).select("doc_id", "lang", F.xxhash64("text").alias("tk"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    rows = lines.orderBy(F.xxhash64("doc_id", "at", "line"), "doc_id", "lang", "tk", "at").limit(TRAIN_LINES).collect()
+    texts: dict[tuple, list] = {}
+    for r in rows:
+        texts.setdefault((r.doc_id, r.tk, r.lang), []).append((r["at"], r.line))
+    return fit([("\n".join(line for _, line in sorted(some)), lang) for (_, _, lang), some in sorted(texts.items())])
 
 
 class Labeller:
@@ -188,6 +194,7 @@ class Labeller:
 
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
+        self.held = 0
         self.emit = np.zeros((1 << 14, len(self.model["langs"])), np.float32)
         self.real = np.zeros(1 << 14, bool)
 
@@ -206,9 +213,10 @@ class Labeller:
             size = np.array([f.size for f in feats])
             self.emit[n : n + len(words)][self.real[n : n + len(words)]] = np.add.reduceat(w[np.concatenate(feats)], np.cumsum(size) - size)
         self.at.update(zip(words, range(n, n + len(words))))
+        self.held += sum(map(len, words))
 
     def label(self, texts: list[bytes]) -> list[tuple[str, float]]:
-        if len(self.at) > CACHE:
+        if len(self.at) > CACHE or self.held > CACHE_BYTES:
             self.clear()
         lines = [[line.split() for line in t.split(b"\n")] for t in texts]
         fresh = {w for doc in lines for line in doc for w in line if w not in self.at}
@@ -253,8 +261,8 @@ def shared_labeller(key: str, model: dict) -> Labeller:
     """The worker's labeller for a model, kept from task to task."""
     if key not in _KEPT:
         _KEPT.clear()
-        gc.disable()  # the remembered words hold no cycles
         _KEPT[key] = Labeller(model)
+        gc.freeze()  # the model holds no cycles
     return _KEPT[key]
 
 
