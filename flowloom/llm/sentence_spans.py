@@ -3,7 +3,8 @@
 A sentence ends after a word with a final ``.``, ``!`` or ``?``, at a line
 break, or with the text.  The shortest run of at least two sentences with
 MIN_WORDS words or more is hashed that starts at each sentence, and the one
-that ends at each; a sentence of LONE_WORDS words is also a run by itself.
+that ends at each.  A sentence of LONE_WORDS words is also a run by itself, so
+that a long passage without a full stop, which is one sentence, is found too.
 These cover every longer run, to both of its ends.  Runs that occur more than
 once anywhere are repeated spans; the first occurrence in the order of (doc_id, text hash,
 position) stays, and the sentences that any other occurrence covers are

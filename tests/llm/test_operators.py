@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.llm import bpe, external_shuffle, int8_dedup, langid_crf, packing, parity_join, quality_crf, sanitise, sentence_spans, sparse_suffix
-from flowloom.llm.common import components
+from flowloom.llm.common import components, sieve
 from flowloom.llm.queries import queries, vocabulary
 
 rng = np.random.default_rng(3)
@@ -431,13 +431,69 @@ def test_pipeline(spark):
 
 
 @pytest.mark.parametrize("words", [1, 64])
-def test_marked_keeps_every_candidate(spark, monkeypatch, words):
-    monkeypatch.setattr(parity_join, "FILTER_WORDS", words)
+def test_sieve_keeps_every_candidate(spark, words):
     rows = [(i if i % 7 else None, i * 31 - 50, f"text {i}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, tk long, text string")
-    got = {r.text for r in parity_join.marked(docs, docs.where("tk % 3 = 0").select("doc_id", "tk")).collect()}
+    got = {r.text for r in sieve(docs, docs.where("tk % 3 = 0").select("doc_id", "tk"), "doc_id", "tk", words=words).collect()}
     assert {t for _, tk, t in rows if tk % 3 == 0} <= got
-    assert parity_join.marked(docs, docs.where("tk IS NULL")).isEmpty()
+    assert sieve(docs, docs.where("tk IS NULL"), "doc_id", "tk", words=words).isEmpty()
+
+
+def test_quality_labels_lines(spark):
+    """Boilerplate put into a good document is marked line by line, the rest is not."""
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality_crf.train(real, labels)
+    bad = ["$$$ ".join(prose(20).split()) + "$$$", "!! ".join(prose(15).upper().split()) + "!!"]
+    wrong = 0
+    for k in range(40):
+        good = [prose(14) for _ in range(8)]
+        at, n = int(rng.integers(0, 8)), int(rng.integers(1, 4))
+        lines = good[:at] + [bad[k % 2]] * n + good[at:]
+        text = "\n".join("\n".join(x.split("\n")) for x in lines)
+        feats, _, _ = quality_crf.document_lines(text.encode())
+        want = [int(not ("$$$" in x or "!!" in x)) for x in text.split("\n") if x.split()]
+        wrong += quality_crf.content_lines(feats, model) != want
+    assert wrong <= 2
+    mixed = quality_crf.quality(real, model).where("n_content_lines > 0").collect()
+    lines = [sum(bool(x.split()) for x in r.text.split("\n")) for r in mixed]
+    assert sum(r.n_content_lines < n for r, n in zip(mixed, lines)) > 20
+
+
+def test_packing_spreads_repeated_rows(spark):
+    rows = [(1, "same text")] * 400 + [(2, "other")] * 5
+    pieces = packing.token_pieces(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), vocabulary())
+    out = packing.pack(pieces, group=50)
+    assert out.count() == 405 and out.selectExpr("shiftright(sequence_id, 32) AS g").distinct().count() > 4
+
+
+def test_written_shards(spark, docs, tmp_path):
+    """Shards on disk hold every row at the slot that the digest names."""
+    out = external_shuffle.shuffle(docs, shards=4, bucket_bytes=20_000)
+    external_shuffle.write_shards(out, f"file://{tmp_path}/shards")
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert Counter(map(tuple, back.select(out.columns).collect())) == Counter(map(tuple, out.collect()))
+
+
+def test_int8_extreme_scales(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [2e-200, 4e-200]), (3, [1e200, 2e200]), (4, [1e-200, -2e-200])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in int8_dedup.similar(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
+def test_clashing_columns(spark):
+    """Columns named like results or helpers, in another case, change nothing."""
+    text = prose(60)
+    rows = [(i, text if i < 3 else prose(40) + " mail a@b.de", *"abcdefghi") for i in range(6)]
+    names = "N_WORDS KEPT SHARD Slot bucket TK Ident FOUND Base".split()
+    odd = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    plain = odd.select("doc_id", "text")
+    for f, cols in (
+        (lambda d: quality_crf.quality(d, quality_crf.fit([])), ["doc_id", "n_words", "kept"]), (external_shuffle.shuffle, ["doc_id", "text"]),
+        (sparse_suffix.drop_repeats, ["doc_id", "text", "n_words"]), (sentence_spans.drop_repeats, ["doc_id", "text", "n_sentences"]),
+        (sanitise.sanitise, ["doc_id", "text", "found"]), (parity_join.keep_one, ["doc_id", "text"]),
+    ):
+        assert Counter(map(str, f(odd).select(cols).collect())) == Counter(map(str, f(plain).select(cols).collect()))
 
 
 def test_sentence_spans_hash_every_run(spark):
