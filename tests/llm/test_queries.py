@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from flowloom.llm.queries import queries
+from flowloom.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +31,13 @@ def test_packing_before_coding_in_one_worker(spark):
     for order in (sorted(both), sorted(both, reverse=True)):
         got.append({k: Counter(map(str, both[k](spark, SF).coalesce(1).collect())) for k in order})
     assert got[0] == got[1]
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_sql(alone, spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cols = queries()[name](spark, SF).columns
+    assert Counter(map(str, con.sql(f"SELECT {', '.join(cols)} FROM ({oracle_sql()[name]})").fetchall())) == Counter(str(tuple(r)) for r in queries()[name](spark, SF).collect())
