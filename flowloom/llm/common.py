@@ -214,8 +214,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternating large-star and small-star rounds.  A round takes the least
     neighbour of each node with a partially aggregated minimum and joins it
-    back, so no neighbour list is ever gathered; the edges of a node that holds
-    more than one in HEAVY of them are dealt over SALTS join keys.  Null ends
+    back, so no neighbour list is ever gathered; with_totals deals the edges of
+    heavy nodes over several join keys.  Null ends
     and loops are ignored; nodes without an edge are absent.  Rounds grow with
     the logarithm of the diameter; each is written, the one before deleted.
     """
@@ -237,6 +237,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 HEAVY, SALTS = 500, 64
+#: rows of two numbers that one task may well hold
+FEW = 1_000_000
 
 
 def edge_state(e: DataFrame) -> tuple:
@@ -254,10 +256,13 @@ def with_least(e: DataFrame, most: int, only: str = "true") -> DataFrame:
 def with_totals(df: DataFrame, key: str, by: str, most: int, *totals: Column, only: str = "true") -> DataFrame:
     """The rows of ``df`` where ``only`` holds, with totals over all rows of their key.
 
-    most: a bound of the number of rows.  A key with more than one in HEAVY of
-    them is joined over SALTS keys, dealt by column ``by``; at most HEAVY keys
-    are heavy, and the broadcast list of them has that many rows.
+    most: a bound of the number of rows.  Above FEW rows, a key with more than
+    one in HEAVY of them is joined over SALTS keys, dealt by column ``by``; at
+    most HEAVY keys are heavy, and the broadcast list of them has that many
+    rows.  Up to FEW rows the largest group fits any task as it is.
     """
+    if most <= FEW:
+        return df.where(only).join(df.groupBy(key).agg(*totals), key)
     low = df.groupBy(key).agg(*totals, F.count("*").alias("__c"))
     few = F.col("__c") <= F.lit(max(1, most // HEAVY))
     spread = low.withColumn("__s", F.explode(F.when(few, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1))))).drop("__c")
