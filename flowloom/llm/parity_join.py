@@ -10,22 +10,21 @@ A document is the set of its distinct 5-word shingles; two documents link when
    p > d segments that hold a shingle, where d is the largest difference a
    linked pair of the band may have, a linked pair agrees on a segment
    (pigeonhole).
-3. A node sends only the d + 1 first of its segments in one global order:
-   fewer than d + 1 precede the first agreeing segment of a linked pair, so
-   both send it.  The order puts common segments last, which removes those made
-   of shared passages: keys frequent within a map task are counted, and the
-   counts of at most LISTED keys order them.  Any order would lose no link.
+3. A node with s spare segments may leave out its s commonest ones, by one
+   global order of segment frequency: the rarest agreeing segment of a linked
+   pair is among those that both keep.  This removes segments made of shared
+   passages alone, and loses no link.
 4. Nodes that share a kept segment form clusters.  Inside a cluster pairs are
    tested: first the Hamming distance of 2048-bit parity sketches, a lower
    bound of the difference, then the exact sets.  A pair that is already in
    one component needs no test.  A large cluster is cut into blocks of bounded
-   bytes.  Each block first meets the cluster's hub (its least number); then
+   bytes.  Each block first meets the cluster's hub (its smallest node); then
    only members outside the hub's component meet the other blocks.
 
-A segment key is sent with a 40-bit number of its node: nodes that share a
-number share a place in the clusters, which adds candidates and drops none.
-Nodes of a key that is frequent within one map task (HOT) are dealt over all
-bins by node; the key's own bin receives a mark, not the nodes.
+A segment key is sent with a 39-bit number of its node: a node that shares the
+number with another gets the other's keys too, which adds candidates and drops
+none.  Nodes of a key that is frequent within one map task (HOT) are dealt over
+all bins by node; the key's own bin receives their number, not the nodes.
 
 Defined results
   empty table                   no rows
@@ -57,8 +56,6 @@ SHINGLE = 5
 FLUSH, KEYS_PER_BIN = 1_000_000, 1_500_000
 #: nodes of one key among the keys sent off at once that make the key hot there
 HOT = 256
-#: nodes of one key among the keys counted at once that make it worth counting, and most keys in the list of common ones
-COMMON, LISTED = 6, 200_000
 #: nodes and shingles of a block
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 BITS = 2048
@@ -115,6 +112,12 @@ def segments_of(s: np.ndarray, p: int) -> np.ndarray:
     return ((s >> U64(32)) * U64(p)) >> U64(32)
 
 
+def spare_segments(s: np.ndarray, p: int, d: int) -> int:
+    """How many of its commonest segments a set may leave out."""
+    at = segments_of(s, p)
+    return max(0, 1 + int((at[1:] != at[:-1]).sum()) - d - 1)
+
+
 def segment_keys(s: np.ndarray, band: int, p: int, d: int) -> np.ndarray:
     """Keys (48 bits) of the sketch's segments.
 
@@ -129,85 +132,25 @@ def segment_keys(s: np.ndarray, band: int, p: int, d: int) -> np.ndarray:
     return mix(segment + mix(where + U64(band << 40))) >> U64(16)
 
 
-def number_of(node: int) -> int:
-    """The 40-bit number of a node."""
-    return (node & ((1 << 64) - 1)) >> 24
-
-
 def node_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, tk, n_shingles, node, common) of every document; tk is a hash of the text.
+    """(doc_id, tk, n_shingles, node, spare, spare_low) of every document; tk is a hash of the text.
 
-    Rows with ``common`` stand for no document: they hold (key, nodes) of the
-    segment keys that are common among those counted at once.
+    spare and spare_low: segments that the set may leave out in its own band and in the one below.
     """
-    names, least = ["doc_id", "tk", "n_shingles", "node"], COMMON
+    names = ["doc_id", "tk", "n_shingles", "node", "spare", "spare_low"]
 
     def run(batches):
-        seen, keys, held = set(), [], 0
-
-        def counted():
-            key, count = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.empty(0, U64), np.empty(0, np.int64))
-            blob = np.stack([key[count >= least].astype(np.int64), count[count >= least]]).tobytes()
-            one = [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([None], pa.int64()), pa.array([blob], pa.binary())]
-            return pa.RecordBatch.from_arrays(one, names=[*names, "common"])
-
         for batch in batches:
-            n, node = [], []
+            n, node, spare = [], [], []
             for _, texts in chunks(binary_column(batch, "text")):
                 for s in shingle_sets(texts):
                     n.append(s.size)
                     node.append(fingerprint(s) if s.size else None)
-                    if s.size and node[-1] not in seen:
-                        seen.add(node[-1])
-                        keys += [segment_keys(s, k, p, d) for k, p, d in bands(s.size)]
-                        held += keys[-1].size
-                if held >= FLUSH:
-                    yield counted()
-                    seen, keys, held = set(), [], 0
-            cols = [batch.column("doc_id"), batch.column("tk"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "common"])
-        yield counted()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", common binary")
-
+                    spare.append([spare_segments(s, p, d) for _, p, d in bands(s.size)] if s.size else [])
+            cols = [pa.array(n, pa.int64()), pa.array(node, pa.int64())] + [pa.array([x[k] if len(x) > k else None for x in spare], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), *cols], names=names)
 
-def common_keys(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest segment keys in order, and their counts; at most LISTED.
-
-    A key is listed when its count is at least one in LISTED of all counts
-    together, so no more than LISTED can be.
-    """
-
-    def run(batches):
-        for batch in batches:
-            for blob in batch.column("common").to_pylist():
-                key, n = np.frombuffer(blob, np.int64).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
-
-    counts = materialise(rows.where("common IS NOT NULL").select("common").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    some = counts.where(F.col("n") >= F.lit(-(-total // LISTED))).toArrow()
-    discard(counts)
-    key, n = some.column("key").to_numpy(), some.column("n").to_numpy()
-    order = np.argsort(key)
-    return key[order].astype(U64), n[order]
-
-
-def sent_keys(s: np.ndarray, band: int, p: int, d: int, listed: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first d + 1 segment keys in the global order; all keys of the rare sets that fill d segments or less."""
-    key = segment_keys(s, band, p, d)
-    if key.size <= d + 1 or key.size == p and filled(s, p) <= d:
-        return key
-    count = np.zeros(key.size, np.int64)
-    if listed.size:
-        at = np.minimum(np.searchsorted(listed, key), listed.size - 1)
-        count = np.where(listed[at] == key, counts[at], 0)
-    return key[np.lexsort((key, count))[: d + 1]]
-
-
-def filled(s: np.ndarray, p: int) -> int:
-    at = segments_of(s, p)
-    return 1 + int((at[1:] != at[:-1]).sum())
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def low_bytes(x: np.ndarray, n: int) -> bytes:
@@ -221,48 +164,51 @@ def from_bytes(blob: bytes, count: int, at: int, n: int) -> np.ndarray:
     return wide.view("<u8").ravel().astype(U64)
 
 
-def key_width(bins: int) -> int:
-    """Bytes of a 48-bit key's quotient by ``bins``."""
-    return (((1 << 48) // bins).bit_length() + 7) // 8
+def key_bits(total: int) -> int:
+    """Bits of a key (48 at most): 18 more than number ``total`` keys, so chance seldom makes two equal."""
+    return min(48, total.bit_length() + 18)
 
 
-def key_bins(docs: DataFrame, bins: int, listed: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(bin, blob): the segment keys that nodes send, packed per map task and bin.
+def key_width(bins: int, bits: int) -> int:
+    """Bytes of a key's quotient by ``bins``."""
+    return (((1 << bits) // bins).bit_length() + 7) // 8
 
-    A blob holds keys of its bin with their nodes' numbers, members of hot keys
-    that were dealt here, and marks for its own hot keys.
+
+def key_bins(docs: DataFrame, bins: int, bits: int) -> DataFrame:
+    """(bin, blob): the segment keys of all nodes, packed per map task and bin.
+
+    A blob holds keys of its bin with their nodes, members of hot keys dealt
+    here, and the counts of its own hot keys' members elsewhere.  A node is its
+    39-bit number, doubled, plus 1 in the band below its own.
     """
-    width, hot_least = key_width(bins), HOT
-    shared = docs.sparkSession.sparkContext.broadcast((listed, counts))
+    width, hot_least, cut = key_width(bins, bits), HOT, U64(48 - bits)
 
-    def pack(numbers, keys):
-        key, number = np.concatenate(keys), np.repeat(np.array(numbers, U64), [k.size for k in keys])
+    def pack(refs, keys):
+        key, ref = np.concatenate(keys) >> cut, np.repeat(np.array(refs, U64), [k.size for k in keys])
         order = np.argsort(key, kind="stable")
-        key, number = key[order], number[order]
+        key, ref = key[order], ref[order]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(starts, key.size))
         hot = np.repeat(count >= hot_least, count)
-        marks = key[starts][count >= hot_least]
-        groups = ((key[~hot], number[~hot], key[~hot]), (key[hot], number[hot], mix(key[hot] + number[hot] * STEP)), (marks, None, marks))
+        marks, times = key[starts][count >= hot_least], count[count >= hot_least]
+        groups = ((key[~hot], ref[~hot], key[~hot]), (key[hot], ref[hot], mix(key[hot] + ref[hot] * STEP)), (marks, times, marks))
         parts: dict[int, list] = {}
         for kind, (k, v, to) in enumerate(groups):
             to = (to % U64(bins)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            k, to = k[order], to[order]
-            v = None if v is None else v[order]
+            k, v, to = k[order], v[order], to[order]
             cuts = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if to.size else [], to.size).astype(int).tolist()
             for a, b in zip(cuts[:-1], cuts[1:]):
-                one = low_bytes(k[a:b], 6) if kind == 1 else low_bytes(k[a:b] // U64(bins), width)
-                parts.setdefault(int(to[a]), [(0, b"")] * 3)[kind] = (b - a, one + (b"" if v is None else low_bytes(v[a:b], 5)))
+                one = low_bytes(k[a:b] // U64(bins), width) if kind != 1 else low_bytes(k[a:b], 6)
+                parts.setdefault(int(to[a]), [(0, b"")] * 3)[kind] = (b - a, one + low_bytes(v[a:b], 5))
         for b, three in parts.items():
             yield b, np.array([n for n, _ in three], np.int64).tobytes() + b"".join(x for _, x in three)
 
     def run(batches):
-        numbers, keys, held, seen = [], [], 0, set()
-        listed, counts = shared.value
+        refs, keys, held, seen = [], [], 0, set()
 
         def flush():
-            rows = list(pack(numbers, keys)) if keys else []
+            rows = list(pack(refs, keys)) if keys else []
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bin", "blob"])
 
         for batch in batches:
@@ -272,47 +218,69 @@ def key_bins(docs: DataFrame, bins: int, listed: np.ndarray, counts: np.ndarray)
                     if node is None or node in seen:
                         continue
                     seen.add(node)
-                    for k, p, d in bands(s.size):
-                        numbers.append(number_of(node))
-                        keys.append(sent_keys(s, k, p, d, listed, counts))
+                    number = (node & ((1 << 64) - 1)) >> 25
+                    for low, (k, p, d) in enumerate(bands(s.size)):
+                        refs.append(2 * number + low)
+                        keys.append(segment_keys(s, k, p, d))
                         held += keys[-1].size
                 if held >= FLUSH:
                     yield flush()
-                    numbers, keys, held, seen = [], [], 0, set()
+                    refs, keys, held, seen = [], [], 0, set()
         yield flush()
 
     return docs.select("text").mapInArrow(run, "bin int, blob binary")
 
 
-def once(key: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((number, key))
-    key, number = key[order], number[order]
+def once(key: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((ref, key))
+    key, ref = key[order], ref[order]
     new = np.ones(key.size, bool)
-    new[1:] = (key[1:] != key[:-1]) | (number[1:] != number[:-1])
-    return key[new], number[new]
+    new[1:] = (key[1:] != key[:-1]) | (ref[1:] != ref[:-1])
+    return key[new], ref[new]
+
 
+def shared_keys(table: pa.Table, bins: int, bits: int) -> pa.Table:
+    """(ref, key, cnt) of the keys of a bin that two or more nodes have.
 
-def shared_keys(table: pa.Table, bins: int) -> pa.Table:
-    """(key, number) of the keys of a bin that two or more nodes sent, and of the hot members dealt here."""
-    width, here = key_width(bins), U64(table.column("bin")[0].as_py())
+    cnt is null for members of hot keys of other bins; ref is null in the rows
+    that give the whole count of a hot key.
+    """
+    width, here = key_width(bins, bits), U64(table.column("bin")[0].as_py())
     plain, hot, marks = [], [], []
     for blob in table.column("blob").to_pylist():
-        n, m, k = np.frombuffer(blob, np.int64, 3).tolist()
         at = 24
-        plain.append((from_bytes(blob, n, at, width) * U64(bins) + here, from_bytes(blob, n, at + width * n, 5)))
-        at += (width + 5) * n
-        hot.append((from_bytes(blob, m, at, 6), from_bytes(blob, m, at + 6 * m, 5)))
-        marks.append(from_bytes(blob, k, at + 11 * m, width) * U64(bins) + here)
-    key, number = (np.concatenate(x) for x in zip(*plain))
-    marked = np.unique(np.concatenate(marks))
+        for into, n, w in zip((plain, hot, marks), np.frombuffer(blob, np.int64, 3).tolist(), (width, 6, width)):
+            k, v = from_bytes(blob, n, at, w), from_bytes(blob, n, at + w * n, 5)
+            into.append((k if into is hot else k * U64(bins) + here, v))
+            at += (w + 5) * n
+    key, ref = (np.concatenate(x) for x in zip(*plain))
+    mark, times = (np.concatenate(x) for x in zip(*marks))
+    marked_keys, where = np.unique(mark, return_inverse=True)
+    more = np.bincount(where, times.astype(np.int64), marked_keys.size).astype(np.int64)
     ranked = np.sort(key)
-    twice = np.union1d(ranked[1:][ranked[1:] == ranked[:-1]], marked)
+    twice = np.union1d(ranked[1:][ranked[1:] == ranked[:-1]], marked_keys)
     on = np.isin(key, twice)
-    key, number = once(key[on], number[on])
-    _, back, count = np.unique(key, return_inverse=True, return_counts=True)
-    keep = (count[back] > 1) | np.isin(key, marked)
-    far, far_number = once(*(np.concatenate(x) for x in zip(*hot)))
-    return pa.table({"key": np.concatenate([key[keep], far]).astype(np.int64), "number": np.concatenate([number[keep], far_number]).astype(np.int64)})
+    key, ref = once(key[on], ref[on])
+    names, back, cnt = np.unique(key, return_inverse=True, return_counts=True)
+    if marked_keys.size and names.size:
+        at = np.minimum(np.searchsorted(marked_keys, names), marked_keys.size - 1)
+        cnt = cnt + np.where(marked_keys[at] == names, more[at], 0)
+    own = np.zeros(marked_keys.size, np.int64)
+    if names.size:
+        at = np.minimum(np.searchsorted(names, marked_keys), names.size - 1)
+        own = np.where(names[at] == marked_keys, cnt[at], 0)
+    cnt = cnt[back]
+    key, ref, cnt = key[cnt > 1], ref[cnt > 1], cnt[cnt > 1]
+    far, far_ref = once(*(np.concatenate(x) for x in zip(*hot)))
+    none = lambda n: pa.nulls(n, pa.int64())
+    col = lambda x: pa.array(x.astype(np.int64))
+    return pa.table(
+        {
+            "ref": pa.concat_arrays([col(ref), col(far_ref), none(marked_keys.size)]),
+            "key": pa.concat_arrays([col(key), col(far), col(marked_keys)]),
+            "cnt": pa.concat_arrays([col(cnt), none(far.size), col(np.maximum(own, more))]),
+        }
+    )
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -352,8 +320,8 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], label: np.ndarray | None =
 
 
 def member_sets(docs: DataFrame, cand: DataFrame) -> DataFrame:
-    """cand (node, hub, root, blocks, comp, doc_id, tk) with the members' shingle sets."""
-    names = ["node", "hub", "root", "blocks", "comp"]
+    """cand (node, root, blocks, comp, doc_id, tk) with the members' shingle sets."""
+    names = ["node", "root", "blocks", "comp"]
 
     def run(batches):
         for batch in batches:
@@ -369,7 +337,7 @@ def member_sets(docs: DataFrame, cand: DataFrame) -> DataFrame:
 
     c = cand.select(*names, F.col("doc_id").alias("c_id"), F.col("tk").alias("c_tk"))
     full = sieve(docs, cand, "doc_id", "tk").join(c, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("tk") == F.col("c_tk"))).select(*names, "text")
-    return full.mapInArrow(run, "node long, hub boolean, root long, blocks int, comp long, shingles binary")
+    return full.mapInArrow(run, "node long, root long, blocks int, comp long, shingles binary")
 
 
 def resolve(table: pa.Table) -> pa.Table:
@@ -394,7 +362,7 @@ def cluster_links(docs: DataFrame, cand: DataFrame, bins: int) -> DataFrame:
     The hub is copied once for each block of its cluster, other members not at all.
     """
     own = block_of("blocks")
-    place = F.when((F.col("blocks") > 1) & F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    place = F.when((F.col("blocks") > 1) & (F.col("node") == F.col("root")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
     dealt = member_sets(docs, cand).withColumn("i", F.explode(place)).withColumn("j", F.lit(-1))
     group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root", "i"))
     return dealt.select(group.alias("g"), "root", "i", "j", "node", "comp", "shingles").groupBy("g").applyInArrow(resolve, "a long, b long")
@@ -403,7 +371,7 @@ def cluster_links(docs: DataFrame, cand: DataFrame, bins: int) -> DataFrame:
 def cross_links(docs: DataFrame, cand: DataFrame) -> DataFrame:
     """Links between the blocks of large clusters that touch an open member.
 
-    cand: (node, hub, root, blocks, comp, open, open_blocks, doc_id, tk).  Open
+    cand: (node, root, blocks, comp, open, open_blocks, doc_id, tk).  Open
     members, those outside their hub's component, meet every block; the others
     are copied once for each block of open ones.
     """
@@ -423,8 +391,7 @@ def resolved(docs: DataFrame) -> tuple[DataFrame, bool]:
     the order of doc_id (null last) and text hash; null without a word.
     """
     spark = docs.sparkSession
-    table = materialise(node_rows(docs))
-    rows = table.where("common IS NULL").drop("common")
+    rows = materialise(node_rows(docs))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     repeated = not rows.groupBy("doc_id", "tk").count().where("count > 1").isEmpty()
     place = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "tk")
@@ -432,16 +399,33 @@ def resolved(docs: DataFrame) -> tuple[DataFrame, bool]:
         return rows.select("doc_id", "tk", "n_shingles", F.when(F.col("n_shingles") > 0, place).alias("first")), repeated
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bins = max(2 * least, math.ceil(0.75 * total / KEYS_PER_BIN))
-    number = F.shiftrightunsigned("node", 24).alias("number")
-    nodes = materialise(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(place).alias("at"), F.first("n_shingles").alias("n")).select("node", number, "at", "n"))
-    kept = materialise(key_bins(docs, bins, *common_keys(table)).groupBy("bin").applyInArrow(lambda t: shared_keys(t, bins), "key long, number long"))
-    clusters = components(with_least(kept.select(F.col("key").alias("u"), F.col("number").alias("v")), kept.count()).select("v", "m"), "v", "m")
-    sized = clusters.select(F.col("node").alias("number"), "root").join(nodes.select("node", "number", "n", "at.doc_id", "at.tk"), "number")
+    nodes = materialise(
+        rows.where("node IS NOT NULL").groupBy("node").agg(F.min(place).alias("at"), F.first("n_shingles").alias("n"), F.first("spare").alias("spare"), F.first("spare_low").alias("spare_low"))
+    )
+    bits = key_bits(total)
+    shared = materialise(key_bins(docs, bins, bits).groupBy("bin").applyInArrow(lambda t: shared_keys(t, bins, bits), "ref long, key long, cnt long"))
+    # members of hot keys get the key's count over 16 salted joins
+    salts = F.explode(F.sequence(F.lit(0), F.lit(15)))
+    hot = shared.where("ref IS NULL").select("key", "cnt", salts.alias("s"))
+    far = shared.where("cnt IS NULL").select("ref", "key", F.pmod("ref", F.lit(16)).cast("int").alias("s")).join(hot, ["key", "s"]).select("ref", "key", "cnt")
+    member = shared.where("ref IS NOT NULL AND cnt IS NOT NULL").unionByName(far).groupBy("ref").agg(F.sort_array(F.collect_set(F.struct("cnt", "key"))).alias("keys"))
+    numbered = nodes.select("node", F.shiftrightunsigned("node", 25).alias("number"), "spare", "spare_low")
+    spare = F.when(F.col("ref") % 2 == 1, F.col("spare_low")).otherwise(F.col("spare"))
+    kept = materialise(
+        member.withColumn("number", F.shiftright("ref", 1))
+        .join(numbered, "number")
+        .withColumn("left_out", spare)
+        .where("size(keys) > left_out")
+        .select("node", F.explode(F.expr("slice(keys, 1, cast(size(keys) - left_out AS int))")).alias("k"))
+        .select(F.col("k.key").alias("u"), F.col("node").alias("v"))
+    )
+    clusters = components(with_least(kept, kept.count()).select("v", "m"), "v", "m")
+    sized = clusters.join(nodes.select("node", "n", "at.doc_id", "at.tk"), "node")
     sized = with_totals(sized, "root", "node", nodes.count(), F.count("*").alias("size"), F.sum("n").alias("weight"))
     large = (F.col("size") > 2 * BLOCK) | (F.col("weight") > 2 * BLOCK_SHINGLES)
     blocks = F.when(large, F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES))).otherwise(1).cast("int")
-    cand = materialise(sized.select("node", (F.col("number") == F.col("root")).alias("hub"), "root", "size", "n", blocks.alias("blocks"), F.lit(None).cast("long").alias("comp"), "doc_id", "tk"))
-    discard(kept)
+    cand = materialise(sized.select("node", "root", "size", "n", blocks.alias("blocks"), F.lit(None).cast("long").alias("comp"), "doc_id", "tk"))
+    discard(shared, kept)
     count, weight = cand.agg(F.count("*"), F.sum("n")).first()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
     if repeated:
@@ -464,7 +448,7 @@ def open_links(text: DataFrame, many: DataFrame, found: DataFrame, count: int) -
     """The links across the blocks of large clusters, if any member is open."""
     comp = F.coalesce("found_root", "node")
     named = many.drop("comp").join(found.select("node", F.col("root").alias("found_root")), "node", "left").withColumn("comp", comp)
-    hubs = named.where("hub").groupBy("root").agg(F.min("comp").alias("hub_comp"))
+    hubs = named.where("node = root").select("root", F.col("comp").alias("hub_comp"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(15)))
     told = named.withColumn("s", F.pmod("node", F.lit(16)).cast("int")).join(hubs.withColumn("s", salts), ["root", "s"])
     told = materialise(told.withColumn("open", F.col("comp") != F.col("hub_comp")).drop("s", "hub_comp", "found_root"))

@@ -117,7 +117,6 @@ def test_parity_join_blocks(spark, monkeypatch, hot):
     """Clusters cut into blocks, with open members, and keys that count as hot."""
     monkeypatch.setattr(parity_join, "BLOCK", 4)
     monkeypatch.setattr(parity_join, "HOT", hot)
-    monkeypatch.setattr(parity_join, "COMMON", 2)
     test_parity_join_threshold(spark)
 
 
