@@ -30,7 +30,7 @@ class Gate:
     """Which nodes and edges a query may use, and what remains on an edge."""
 
     def __init__(self, net: Net, residual=None, nodes_out=(), edges_out=(), require_capacity: bool = False):
-        self.rest = net.cap.tolist() if residual is None else list(residual)
+        self.rest = net.caps if residual is None else residual  # read only, never copied
         self.check = require_capacity or residual is not None
         self.nodes_out, self.edges_out = frozenset(nodes_out), frozenset(edges_out)
 
@@ -41,6 +41,9 @@ class Gate:
 
 def pick(net: Net, gate: Gate, edges: list[int], selection: EdgeSelection) -> tuple[int, list[int]] | None:
     """(cost, edges) selected among the parallel edges of a pair, or None."""
+    if len(edges) == 1:
+        e = edges[0]
+        return None if e in gate.edges_out or gate.check and gate.rest[e] < MIN_CAP else (net.costs[e], edges)
     edges = gate.usable(edges)
     if not edges:
         return None
@@ -56,14 +59,14 @@ def pick(net: Net, gate: Gate, edges: list[int], selection: EdgeSelection) -> tu
     return cost, [best]
 
 
-def shortest_paths(net: Net, src: int, dst: int | None, gate: Gate, multipath: bool = True, selection: EdgeSelection = EdgeSelection()) -> tuple[dict[int, int], Dag]:
+def shortest_paths(net: Net, src: int, dst: int | None, gate: Gate, multipath: bool = True, selection: EdgeSelection = EdgeSelection(), widest: bool = True) -> tuple[dict[int, int], Dag]:
     """(distance of each reached node, predecessor DAG).
 
     With dst the search ends once nothing at dst's distance is open; distances
-    beyond it are tentative.
+    beyond it are tentative.  A single path is the widest of the shortest ones,
+    or with ``widest`` off the first one found.  A cycle of zero cost among the
+    nodes that are reached raises, since they have no DAG.
     """
-    if net.zero_cost_cycle:
-        raise ValueError("a cycle of zero cost has no shortest-path DAG")
     dist: dict[int, int] = {}
     dag = Dag()
     if not 0 <= src < net.n or src in gate.nodes_out:
@@ -90,15 +93,33 @@ def shortest_paths(net: Net, src: int, dst: int | None, gate: Gate, multipath: b
             there = d + got[0]
             wide = min(width[u], max(gate.rest[e] for e in got[1]))
             old = dist.get(v)
-            if old is None or there < old or (there == old and not multipath and v != src and wide > width[v] + EPSILON):
+            if old is None or there < old or (there == old and not multipath and widest and v != src and wide > width[v] + EPSILON):
                 dist[v], width[v] = there, wide
                 dag.parents[v] = [(u, got[1])]
                 heapq.heappush(heap, (there, -wide, v))
             elif there == old and multipath and v != src:
                 dag.parents.setdefault(v, []).append((u, got[1]))
+    if net.has_free_edges and cyclic(dag):
+        raise ValueError("a cycle of zero cost has no shortest-path DAG")
     return dist, dag
 
 
+def cyclic(dag: Dag) -> bool:
+    """Whether following parents can come back."""
+    waits = {v: len(p) for v, p in dag.parents.items()}
+    after: dict[int, list[int]] = {}
+    for v, p in dag.parents.items():
+        for u, _ in p:
+            after.setdefault(u, []).append(v)
+    ready = [u for u in after if u not in waits]
+    while ready:
+        for v in after.get(ready.pop(), []):
+            waits[v] -= 1
+            if not waits[v]:
+                ready.append(v)
+    return any(waits.values())
+
+
 def resolve_paths(dag: Dag, src: int, dst: int, split: bool = False, limit: int | None = None):
     """Paths as lists of (node, edge ids), the last one (dst, ()).
 
@@ -138,7 +159,7 @@ def k_shortest(net: Net, src: int, dst: int, k: int, factor: float | None = None
     if src == dst or not (0 <= src < net.n and 0 <= dst < net.n):
         return []
     one = EdgeSelection(multi_edge=False)
-    dist, dag = shortest_paths(net, src, dst, Gate(net, None, nodes_out, edges_out), multipath=False, selection=one)
+    dist, dag = shortest_paths(net, src, dst, Gate(net, None, nodes_out, edges_out), multipath=False, selection=one, widest=False)
     if dst not in dist or dst in frozenset(nodes_out):
         return []
     first = resolve_paths(dag, src, dst)[0]
@@ -169,3 +190,14 @@ def k_shortest(net: Net, src: int, dst: int, k: int, factor: float | None = None
             break
         taken.append(heapq.heappop(waiting))
     return taken
+
+
+def path_dag(net: Net, src: int, edges: list[int]) -> tuple[dict[int, int], Dag]:
+    """Distances along one path and the DAG that holds it alone."""
+    dist, dag, at = {src: 0}, Dag(), src
+    for e in edges:
+        to = int(net.dst[e])
+        dist[to] = dist[at] + net.costs[e]
+        dag.parents[to] = [(at, [e])]
+        at = to
+    return dist, dag

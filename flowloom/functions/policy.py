@@ -11,8 +11,10 @@ from ..model import MIN_FLOW, FlowIndex, FlowPlacement, FlowPolicyConfig, PathAl
 from .flows import State
 from .paths import Dag, Gate, shortest_paths
 
-#: most nested rebalances of one placement
+#: most rebalances of one placement, each over what the one before placed; the last one's flows stay as they are
 MAX_REBALANCE = 8
+#: fixed value: parts of a flow below this are no part of its path
+PATH_LEAST = 1e-12
 
 
 class FlowGraph:
@@ -54,7 +56,7 @@ class FlowGraph:
 
     def flow_path(self, index: FlowIndex) -> list[int]:
         """The flow's edges in order if they form one simple path, else []."""
-        edges = [e for e, part in self.flow_edges(index) if part >= MIN_FLOW]
+        edges = [e for e, part in self.flow_edges(index) if part > PATH_LEAST]
         step: dict[int, int] = {}
         for e in edges:
             u = int(self.net.src[e])
@@ -152,81 +154,112 @@ class FlowPolicy:
         flow.placed = graph.place(flow.index, flow.src, flow.dst, flow.dag, want, self.config.placement)
         return got is not None
 
-    def place_demand(self, graph: FlowGraph, src: int, dst: int, flow_class: int, volume: float, target_per_flow: float | None = None, min_flow: float | None = None, _depth: int = 0) -> tuple[float, float]:
-        """(placed, left over) of a demand."""
-        c = self.config
-        even = c.placement is FlowPlacement.EQUAL_BALANCED
-        bounded = even and c.max_flow_count is not None
-        start, target = volume, volume if target_per_flow is None else target_per_flow
-        per_flow = target
-        if bounded:
-            room = sum(graph.state.rest[e] for _, edges in self.net.out[src] for e in edges) if 0 <= src < self.net.n else 0.0
-            per_flow = max(MIN_FLOW, min(target / c.max_flow_count, room / c.max_flow_count))
-        if not self.flows:
-            if self.static:
-                for s, d, _, _ in self.static:
-                    if (s, d) != (src, dst):
-                        raise ValueError("a static path leads elsewhere")
-                    self._create(graph, src, dst, flow_class)
-            else:
-                count = c.min_flow_count if c.max_flow_count is None else min(c.min_flow_count, c.max_flow_count)
-                for _ in range(count):
-                    self._create(graph, src, dst, flow_class, per_flow if bounded else min_flow)
+    @property
+    def _even(self) -> bool:
+        return self.config.placement is FlowPlacement.EQUAL_BALANCED
+
+    @property
+    def _bounded(self) -> bool:
+        """Even flows of a fixed number: each aims at its share of the volume."""
+        return self._even and self.config.max_flow_count is not None
+
+    def _share(self, graph: FlowGraph, src: int, target: float) -> float:
+        """What one flow aims at: a bounded one at its part of the target and of the room at the source."""
+        if not self._bounded:
+            return target
+        room = sum(graph.state.rest[e] for _, edges in self.net.out[src] for e in edges) if 0 <= src < self.net.n else 0.0
+        return max(MIN_FLOW, min(target, room) / self.config.max_flow_count)
+
+    def _seed(self, graph: FlowGraph, src: int, dst: int, flow_class: int, min_flow: float | None) -> None:
+        """The first flows: one for each static path, else min_flow_count."""
+        if any((s, d) != (src, dst) for s, d, _, _ in self.static):
+            raise ValueError("a static path leads elsewhere")
+        if self.static and self.config.max_flow_count not in (None, len(self.static)):
+            raise ValueError("max_flow_count differs from the number of static paths")
+        least, most = self.config.min_flow_count, self.config.max_flow_count
+        for _ in range(len(self.static) or (least if most is None else min(least, most))):
+            self._create(graph, src, dst, flow_class, None if self.static else min_flow)
+
+    def _room_for_more(self) -> bool:
+        return self.config.max_flow_count is None or len(self.flows) < self.config.max_flow_count
+
+    def _follow(self, graph: FlowGraph, flow: Flow, flow_class: int, target: float, share: float) -> Flow | None:
+        """The flow that goes on after ``flow``: a new one, or itself on another path."""
+        if self._even:
+            return self._create(graph, flow.src, flow.dst, flow_class, share) if self._bounded and self._room_for_more() else None
+        if target - flow.placed < MIN_FLOW:
+            return None
+        if self._room_for_more():
+            return self._create(graph, flow.src, flow.dst, flow_class)
+        return flow if self._reoptimize(graph, flow, MIN_FLOW) else None
+
+    def _fill(self, graph: FlowGraph, flow_class: int, volume: float, target: float, share: float, fixed: bool) -> float:
+        """Takes flows in turn until nothing more can be placed; what is left of the volume."""
+        c, asked = self.config, volume
         queue = deque(self.flows[i] for i in sorted(self.flows))
         recent: deque[float] = deque(maxlen=c.diminishing_returns_window)
         idle = rounds = 0
-        while volume >= MIN_FLOW and queue:
+        while volume >= MIN_FLOW and queue and (not rounds or rounds < c.max_total_iterations):
             flow = queue.popleft()
-            if even and not self.static:
-                got = self._paths(graph, flow.src, flow.dst, per_flow)
-                if got is not None:
-                    flow.dag, flow.cost = got
-            if target_per_flow is not None:
-                need = max(0.0, target_per_flow - flow.placed)
-            elif bounded:
-                need = max(0.0, per_flow - flow.placed)
-            else:
-                need = target
+            if self._even and not self.static:
+                found = self._paths(graph, flow.src, flow.dst, share)
+                if found is not None:
+                    flow.dag, flow.cost = found
+            aim = target if fixed else share
+            need = max(0.0, aim - flow.placed) if fixed or self._bounded else target
             got = graph.place(flow.index, flow.src, flow.dst, flow.dag, min(need, volume), c.placement)
             flow.placed += got
             volume -= got
+            rounds += 1
             if c.shortest_path:
                 break
             recent.append(got)
-            if c.diminishing_returns_enabled and len(recent) == c.diminishing_returns_window and sum(recent) < max(MIN_FLOW, c.diminishing_returns_epsilon_frac * start):
+            if c.diminishing_returns_enabled and len(recent) == c.diminishing_returns_window and sum(recent) < max(MIN_FLOW, c.diminishing_returns_epsilon_frac * asked):
                 break
             idle = idle + 1 if got < MIN_FLOW else 0
-            rounds += 1
-            if idle >= c.max_no_progress_iterations or rounds >= c.max_total_iterations:
+            if idle >= c.max_no_progress_iterations:
                 break
-            may_add = not self.static and (c.max_flow_count is None or len(self.flows) < c.max_flow_count)
-            if bounded:
-                if may_add:
-                    new = self._create(graph, src, dst, flow_class, per_flow)
-                    if new is not None:
-                        queue.append(new)
-            elif not even and target - flow.placed >= MIN_FLOW:
-                if may_add:
-                    new = self._create(graph, src, dst, flow_class, min_flow)
-                    if new is not None:
-                        queue.append(new)
-                elif not self.static and self._reoptimize(graph, flow, MIN_FLOW):
-                    queue.append(flow)
-        if c.reoptimize_flows_on_each_placement:
+            after = self._follow(graph, flow, flow_class, target, share)
+            if after is not None:
+                queue.append(after)
+        return volume
+
+    def _pass(self, graph: FlowGraph, src: int, dst: int, flow_class: int, volume: float, target_per_flow: float | None, min_flow: float | None, reoptimize: bool) -> float:
+        """One placement without rebalancing; what is left of the volume."""
+        target = volume if target_per_flow is None else target_per_flow
+        share = self._share(graph, src, target)
+        if not self.flows:
+            self._seed(graph, src, dst, flow_class, share if self._bounded else min_flow)
+        left = self._fill(graph, flow_class, volume, target, share, target_per_flow is not None)
+        if reoptimize:
             for i in sorted(self.flows):
                 self._reoptimize(graph, self.flows[i], MIN_FLOW)
-        if bounded and self.flows and target_per_flow is None and _depth < MAX_REBALANCE:
-            mean = self.placed_demand / len(self.flows)
-            if any(abs(f.placed - mean) >= MIN_FLOW for f in self.flows.values()):
-                before = self.placed_demand
-                placed, _ = self.rebalance_demand(graph, src, dst, flow_class, mean, _depth + 1)
-                volume += before - placed
-        return start - volume, volume
-
-    def rebalance_demand(self, graph: FlowGraph, src: int, dst: int, flow_class: int, target_per_flow: float, _depth: int = 0) -> tuple[float, float]:
+        return left
+
+    def place_demand(self, graph: FlowGraph, src: int, dst: int, flow_class: int, volume: float, target_per_flow: float | None = None, min_flow: float | None = None) -> tuple[float, float]:
+        """(placed, left over) of a demand.
+
+        Flows of even placement that differ from their mean are taken away and
+        placed again, each up to the mean, without reoptimisation, until they
+        are equal or MAX_REBALANCE times.
+        """
+        before = self.placed_demand
+        left = self._pass(graph, src, dst, flow_class, volume, target_per_flow, min_flow, self.config.reoptimize_flows_on_each_placement)
+        rebalanced = False
+        for _ in range(MAX_REBALANCE if self._even and self.flows else 0):
+            mean = self.placed_demand / len(self.flows) if self.flows else 0.0
+            if all(abs(mean - f.placed) < MIN_FLOW for f in self.flows.values()):
+                break
+            again = self.placed_demand
+            self.remove_demand(graph)
+            left += self._pass(graph, src, dst, flow_class, again, mean, None, False)
+            rebalanced = True
+        return (self.placed_demand if rebalanced else self.placed_demand - before), left
+
+    def rebalance_demand(self, graph: FlowGraph, src: int, dst: int, flow_class: int, target_per_flow: float) -> tuple[float, float]:
         volume = self.placed_demand
         self.remove_demand(graph)
-        return self.place_demand(graph, src, dst, flow_class, volume, target_per_flow, None, _depth)
+        return self.place_demand(graph, src, dst, flow_class, volume, target_per_flow)
 
     def remove_demand(self, graph: FlowGraph) -> None:
         for i in sorted(self.flows):

@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EDGE_SCHEMA = "edge_id int, ext_edge_id long, src int, dst int, capacity double, cost long"
-#: edges that may be held in one process (about 60 bytes each); larger graphs take the DataFrame route
+#: edges that may be held in one process: 28 bytes each in the broadcast, about 300 in a worker's lists, so
+#: 1.2 GB at most; larger graphs take the DataFrame route
 MAX_LOCAL_EDGES = 4_000_000
 
 
@@ -22,6 +23,8 @@ def materialise(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="flowloom-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
@@ -70,23 +73,12 @@ class Net:
         return self.cost.tolist()
 
     @cached_property
-    def zero_cost_cycle(self) -> bool:
-        free = self.cost == 0
-        if not free.any():
-            return False
-        into, nexts = np.zeros(self.n, int), [[] for _ in range(self.n)]
-        for u, v in zip(self.src[free].tolist(), self.dst[free].tolist()):
-            nexts[u].append(v)
-            into[v] += 1
-        ready, done = [u for u in range(self.n) if not into[u]], 0
-        while ready:
-            u = ready.pop()
-            done += 1
-            for v in nexts[u]:
-                into[v] -= 1
-                if not into[v]:
-                    ready.append(v)
-        return done < self.n
+    def caps(self) -> list[float]:
+        return self.cap.tolist()
+
+    @cached_property
+    def has_free_edges(self) -> bool:
+        return bool((self.cost == 0).any())
 
 
 def checked(num_nodes: int, src, dst, capacity, cost) -> None:
@@ -121,8 +113,8 @@ class Graph:
         """The arrays, for graphs of a checked size."""
         if self.num_edges > MAX_LOCAL_EDGES:
             raise ValueError(f"{self.num_edges} edges exceed {MAX_LOCAL_EDGES}: use the DataFrame operators of flowloom.operators.frames")
-        t = self.edges.orderBy("edge_id").toPandas()
-        return Net(self.num_nodes, t.src, t.dst, t.capacity, t.cost, t.ext_edge_id)
+        t = self.edges.orderBy("edge_id").toArrow()
+        return Net(self.num_nodes, *(t.column(c).to_numpy() for c in ("src", "dst", "capacity", "cost", "ext_edge_id")))
 
     def nodes(self) -> DataFrame:
         return self.spark.range(self.num_nodes).select(F.col("id").cast("int").alias("node"))

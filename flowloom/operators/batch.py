@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import flows, paths, policy
-from ..graph import Graph
+from ..graph import Graph, materialise
 from ..model import EdgeSelection, FlowPolicyConfig, MaxFlowOptions
 
 QUERY = ("query_id", "src", "dst", "nodes_out", "edges_out")
@@ -64,6 +64,8 @@ def run_queries(graph: Graph, queries: DataFrame, kernel: Callable, schema: str)
 def spf(graph: Graph, queries: DataFrame, multipath: bool = True, selection: EdgeSelection = EdgeSelection(), to_dst: bool = False) -> DataFrame:
     """(query_id, node, dist, parents): parents is array<struct<parent, edges>> in settle order."""
 
+    queries = checked_queries(graph, queries, need_dst=to_dst)
+
     def kernel(net, q):
         gate = paths.Gate(net, q.get("residual"), q["nodes_out"], q["edges_out"], selection.require_capacity)
         dist, tree = paths.shortest_paths(net, q["src"], q["dst"] if to_dst else None, gate, multipath, selection)
@@ -97,6 +99,44 @@ def ksp(graph: Graph, queries: DataFrame, k: int, max_cost_factor: float | None
     return run_queries(graph, queries, kernel, "query_id long, path_no int, cost long, edges array<int>")
 
 
+def ksp_dags(graph: Graph, queries: DataFrame, k: int, max_cost_factor: float | None = None, unique: bool = True) -> DataFrame:
+    """(query_id, path_no, node, dist, parents): the distances and DAG of each of up to k paths."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+
+    def kernel(net, q):
+        for n, (_, edges) in enumerate(paths.k_shortest(net, q["src"], q["dst"], k, max_cost_factor, unique, q["nodes_out"], q["edges_out"])):
+            dist, tree = paths.path_dag(net, q["src"], edges)
+            for node, d in dist.items():
+                yield q["query_id"], n, node, d, [{"parent": p, "edges": e} for p, e in tree.parents.get(node, [])]
+
+    return run_queries(graph, queries, kernel, "query_id long, path_no int, node int, dist long, parents array<struct<parent:int,edges:array<int>>>")
+
+
+def checked_queries(graph: Graph, queries: DataFrame, need_dst: bool = True) -> DataFrame:
+    """``queries``, or an error when a source, target or mask names what the graph has not.
+
+    One aggregate over the query rows, which runs at once.  A target of -1
+    stands for none where ``need_dst`` is off.
+    """
+    n, m = graph.num_nodes, graph.num_edges
+
+    def outside(c, size, least=0):
+        return c.isNull() | (c < least) | (c >= size)
+
+    rules = {"src": outside(F.col("src"), n)}
+    if "dst" in queries.columns:
+        rules["dst"] = outside(F.col("dst"), n, 0 if need_dst else -1)
+    for name, size in (("nodes_out", n), ("edges_out", m)):
+        if name in queries.columns:
+            rules[name] = F.exists(name, lambda x, size=size: outside(x, size))
+    row = queries.agg(*[F.sum(F.coalesce(c, F.lit(False)).cast("int")).alias(k) for k, c in rules.items()]).first()
+    broken = {k: v for k, v in row.asDict().items() if v}
+    if broken:
+        raise ValueError(f"queries outside the graph of {n} nodes and {m} edges: {broken}")
+    return queries
+
+
 def max_flow(graph: Graph, queries: DataFrame, options: MaxFlowOptions = MaxFlowOptions()) -> DataFrame:
     """One summary row for each query (SUMMARY); bad pairs give zero summaries."""
 
@@ -108,22 +148,13 @@ def max_flow(graph: Graph, queries: DataFrame, options: MaxFlowOptions = MaxFlow
 
 
 def sensitivity(graph: Graph, queries: DataFrame, options: MaxFlowOptions = MaxFlowOptions()) -> DataFrame:
-    """(query_id, edge_id, loss): candidates become scenarios of one more batch."""
+    """(query_id, edge_id, loss) of the saturated edges whose removal loses flow."""
 
-    def candidates(net, q):
-        total, edges = flows.saturated(net, q["src"], q["dst"], options, q["nodes_out"], q["edges_out"])
-        for e in edges:
-            yield q["query_id"], q["src"], q["dst"], q["nodes_out"], [*q["edges_out"], e], e, float(total)
-
-    def rerun(net, q):
-        lost = q["total"] - flows.max_flow(net, q["src"], q["dst"], plain, q["nodes_out"], q["edges_out"]).total_flow
-        if lost > flows.MIN_FLOW:
-            yield q["query_id"], q["edge_id"], float(lost)
+    def kernel(net, q):
+        for e, lost in flows.sensitivity(net, q["src"], q["dst"], options, q["nodes_out"], q["edges_out"]):
+            yield q["query_id"], e, float(lost)
 
-    plain = replace(options, with_edge_flows=False, with_residuals=False, with_reachable=False)
-    tasks = run_queries(graph, queries, candidates, "query_id long, src int, dst int, nodes_out array<int>, edges_out array<int>, edge_id int, total double")
-    parts = graph.spark.sparkContext.defaultParallelism
-    return run_queries(graph, tasks.repartition(parts, "query_id", "edge_id"), rerun, "query_id long, edge_id int, loss double")
+    return run_queries(graph, queries, kernel, "query_id long, edge_id int, loss double")
 
 
 def edge_flows(graph: Graph, queries: DataFrame, options: MaxFlowOptions = MaxFlowOptions()) -> DataFrame:
@@ -142,33 +173,29 @@ def place_demands(graph: Graph, demands: DataFrame, config: FlowPolicyConfig = F
     """Places demands (scenario_id, demand_id, src, dst, flow_class, volume).
 
     The demands of a scenario share one ledger and go in the order of demand_id,
-    in one group; scenarios run in parallel.  Returns (scenario_id, demand_id,
+    in one group (one task for a scenario: each placement needs the one before);
+    scenarios run in parallel.  The placement runs once and is written.  Returns (scenario_id, demand_id,
     placed, leftover, flow_count) and the ledger (scenario_id, src, dst,
     flow_class, flow_id, demand_id, edge_id, flow).
     """
     shared = graph.spark.sparkContext.broadcast(graph.net)
+    entry = pa.struct([("src", pa.int32()), ("dst", pa.int32()), ("flow_class", pa.int32()), ("flow_id", pa.int64()), ("edge_id", pa.int32()), ("flow", pa.float64())])
+    types = {"scenario_id": pa.int64(), "demand_id": pa.int64(), "placed": pa.float64(), "leftover": pa.float64(), "flow_count": pa.int32(), "entries": pa.list_(entry)}
 
-    def placed(table: pa.Table):
-        book = policy.FlowGraph(shared.value)
+    def place(table: pa.Table) -> pa.Table:
+        net = shared.value
+        book, done, next_id = policy.FlowGraph(net), [], 0
         for d in sorted(table.to_pylist(), key=lambda d: d["demand_id"]):
-            one = policy.FlowPolicy(shared.value, config, first_id=d["demand_id"] << 20)
-            yield d, book, one, one.place_demand(book, d["src"], d["dst"], d["flow_class"], d["volume"])
-
-    def totals(table: pa.Table) -> pa.Table:
-        rows = [(d["scenario_id"], d["demand_id"], float(p), float(r), len(one.flows)) for d, _, one, (p, r) in placed(table)]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("scenario_id", "demand_id", "placed", "leftover", "flow_count"), zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32()))})
-
-    def entries(table: pa.Table) -> pa.Table:
-        rows, done = [], [(d, book, one) for d, book, one, _ in placed(table)]
-        for d, book, one in done:
-            for i in sorted(one.flows):
-                rows += [(d["scenario_id"], i.src, i.dst, i.flow_class, i.flow_id, d["demand_id"], e, f) for e, f in book.flow_edges(i)]
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
-        names = ("scenario_id", "src", "dst", "flow_class", "flow_id", "demand_id", "edge_id", "flow")
-        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, types))})
-
-    groups = demands.groupBy("scenario_id")
-    return (
-        groups.applyInArrow(totals, "scenario_id long, demand_id long, placed double, leftover double, flow_count int"),
-        groups.applyInArrow(entries, "scenario_id long, src int, dst int, flow_class int, flow_id long, demand_id long, edge_id int, flow double"),
-    )
+            one = policy.FlowPolicy(net, config, first_id=next_id)
+            done.append((d, one, one.place_demand(book, d["src"], d["dst"], d["flow_class"], d["volume"])))
+            next_id = one.next_id
+        rows = [
+            (d["scenario_id"], d["demand_id"], float(got), float(left), len(one.flows), [{"src": i.src, "dst": i.dst, "flow_class": i.flow_class, "flow_id": i.flow_id, "edge_id": e, "flow": f} for i in sorted(one.flows) for e, f in book.flow_edges(i)])
+            for d, one, (got, left) in done
+        ]
+        return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(types.items())})
+
+    schema = "scenario_id long, demand_id long, placed double, leftover double, flow_count int, entries array<struct<src:int,dst:int,flow_class:int,flow_id:long,edge_id:int,flow:double>>"
+    done = materialise(demands.groupBy("scenario_id").applyInArrow(place, schema))
+    ledger = done.select("scenario_id", "demand_id", F.explode("entries").alias("x")).select("scenario_id", "x.src", "x.dst", "x.flow_class", "x.flow_id", "demand_id", "x.edge_id", "x.flow")
+    return done.drop("entries"), ledger
