@@ -167,6 +167,7 @@ def k_shortest(net: Net, src: int, dst: int, k: int, factor: float | None = None
     if dist[dst] > ceiling:
         return []
     taken = [(dist[dst], [e[0] for _, e in first[:-1]])]
+    closed = frozenset(nodes_out) | net.no_way_to(dst)
     waiting: list[tuple[int, list[int]]] = []
     seen = {tuple(taken[0][1])}
     while len(taken) < k:
@@ -176,7 +177,7 @@ def k_shortest(net: Net, src: int, dst: int, k: int, factor: float | None = None
         for i, spur in enumerate(nodes[:-1]):
             prefix = nodes[: i + 1]
             barred = {p[i] for _, p in taken if len(p) > i and [src] + [int(net.dst[e]) for e in p[:i]] == prefix}
-            gate = Gate(net, None, frozenset(nodes_out) | set(nodes[:i]), frozenset(edges_out) | barred)
+            gate = Gate(net, None, closed | set(nodes[:i]), frozenset(edges_out) | barred)
             _, tree = shortest_paths(net, spur, dst, gate)
             for path in resolve_paths(tree, spur, dst, split=True):
                 whole = edges[:i] + [e[0] for _, e in path[:-1]]

@@ -76,6 +76,28 @@ class Net:
     def caps(self) -> list[float]:
         return self.cap.tolist()
 
+    def no_way_to(self, dst: int) -> frozenset[int]:
+        """The nodes without any path to dst: a search for dst may leave them out.
+
+        The last 64 targets are remembered.
+        """
+        known = self.__dict__.setdefault("_no_way", {})
+        if dst not in known:
+            if len(known) >= 64:
+                known.pop(next(iter(known)))
+            near, queue, src = {dst}, [dst], self.sources
+            while queue:
+                for e in self.into[queue.pop()]:
+                    if src[e] not in near:
+                        near.add(src[e])
+                        queue.append(src[e])
+            known[dst] = frozenset(range(self.n)) - near
+        return known[dst]
+
+    @cached_property
+    def sources(self) -> list[int]:
+        return self.src.tolist()
+
     @cached_property
     def has_free_edges(self) -> bool:
         return bool((self.cost == 0).any())

@@ -77,9 +77,10 @@ def spf(graph: Graph, queries: DataFrame, multipath: bool = True, selection: Edg
 
 def resolve_to_paths(graph: Graph, queries: DataFrame, split_parallel_edges: bool = False, max_paths: int | None = None, selection: EdgeSelection = EdgeSelection()) -> DataFrame:
     """(query_id, path_no, cost, hops): hops is array<struct<node, edges>>, the last one dst."""
+    queries = checked_queries(graph, queries)
 
     def kernel(net, q):
-        gate = paths.Gate(net, q.get("residual"), q["nodes_out"], q["edges_out"], selection.require_capacity)
+        gate = paths.Gate(net, q.get("residual"), net.no_way_to(q["dst"]) | set(q["nodes_out"]), q["edges_out"], selection.require_capacity)
         dist, tree = paths.shortest_paths(net, q["src"], q["dst"], gate, True, selection)
         for k, path in enumerate(paths.resolve_paths(tree, q["src"], q["dst"], split_parallel_edges, max_paths)):
             yield q["query_id"], k, dist.get(q["dst"], 0), [{"node": n, "edges": list(e)} for n, e in path]
@@ -124,12 +125,15 @@ def checked_queries(graph: Graph, queries: DataFrame, need_dst: bool = True) ->
     def outside(c, size, least=0):
         return c.isNull() | (c < least) | (c >= size)
 
+    def any_outside(name, size):
+        return F.exists(name, lambda x: outside(x, size))
+
     rules = {"src": outside(F.col("src"), n)}
     if "dst" in queries.columns:
         rules["dst"] = outside(F.col("dst"), n, 0 if need_dst else -1)
     for name, size in (("nodes_out", n), ("edges_out", m)):
         if name in queries.columns:
-            rules[name] = F.exists(name, lambda x, size=size: outside(x, size))
+            rules[name] = any_outside(name, size)
     row = queries.agg(*[F.sum(F.coalesce(c, F.lit(False)).cast("int")).alias(k) for k, c in rules.items()]).first()
     broken = {k: v for k, v in row.asDict().items() if v}
     if broken:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import EdgeSelection, FlowPlacement, FlowPolicyConfig, MaxFlowOptions
+from ..model import EdgeSelection, EdgeTieBreak, FlowPlacement, FlowPolicyConfig, MaxFlowOptions
 from ..operators import batch, frames
 from ..sources import networks
 
@@ -127,12 +127,88 @@ def policy_wcmp(spark, sf_dir):
     return done.select("scenario_id", F.round("placed", 4).alias("placed"), F.round("leftover", 4).alias("leftover"))
 
 
+def class_ledger(spark, sf_dir):
+    """The ledger of one unlimited demand for each pair, in class query_id mod 2, each with a ledger of its own."""
+    g = networks.two_hop(spark, sf_dir)
+    d = networks.pairs(spark, sf_dir).select(F.col("query_id").alias("scenario_id"), F.lit(0).cast("long").alias("demand_id"), "src", "dst", (F.col("query_id") % 2).cast("int").alias("flow_class"), F.lit(1e9).alias("volume"))
+    return g, batch.place_demands(g, d, FlowPolicyConfig(placement=P, shortest_path=True))[1]
+
+
 def ledger_remove_class(spark, sf_dir):
-    """Flow left on each edge after class 1 goes from a shared ledger of two classes."""
-    g = networks.trade(spark, sf_dir)
-    d = nation_pairs(spark, sf_dir).select(F.lit(0).cast("long").alias("scenario_id"), F.col("query_id").alias("demand_id"), "src", "dst", (F.col("dst") % 2).alias("flow_class"), F.lit(3.0).alias("volume"))
-    _, ledger = batch.place_demands(g, d, FlowPolicyConfig(selection=EdgeSelection(multi_edge=False)))
-    return frames.ledger_total(frames.remove_by_class(ledger, 1))
+    """Flow left on each edge over all ledgers after class 1 goes."""
+    g, ledger = class_ledger(spark, sf_dir)
+    left = frames.remove_by_class(ledger, 1).groupBy("edge_id").agg(F.sum("flow").alias("flow"))
+    return left.join(g.edges.select("edge_id", "ext_edge_id"), "edge_id").select("ext_edge_id", F.round("flow", 2).alias("flow"))
+
+
+def ledger_flows(spark, sf_dir):
+    """Edges and volume at the source of each flow in the ledgers."""
+    g, ledger = class_ledger(spark, sf_dir)
+    first = ledger.join(g.edges.select("edge_id", F.col("src").alias("from_node")), "edge_id")
+    return first.groupBy(F.col("scenario_id").alias("query_id"), F.col("flow_class").cast("int").alias("flow_class")).agg(
+        F.count("*").alias("edges"), F.round(F.sum(F.when(F.col("from_node") == F.col("src"), F.col("flow"))), 3).alias("volume")
+    )
+
+
+def split_paths(spark, sf_dir):
+    """Paths of one edge a hop through each middle node."""
+    g = networks.two_hop(spark, sf_dir)
+    p = batch.resolve_to_paths(g, networks.pairs(spark, sf_dir), split_parallel_edges=True)
+    return p.groupBy("query_id", F.element_at("hops", 2)["node"].alias("mid")).agg(F.count("*").alias("paths"), F.max(F.size(F.element_at("hops", 1)["edges"])).cast("long").alias("edges_a_hop"))
+
+
+def capped_paths(spark, sf_dir):
+    """At most three paths are listed."""
+    g = networks.two_hop(spark, sf_dir)
+    p = batch.resolve_to_paths(g, networks.pairs(spark, sf_dir), split_parallel_edges=True, max_paths=3)
+    return p.groupBy("query_id").agg(F.count("*").alias("paths"))
+
+
+def ksp_within_factor(spark, sf_dir):
+    """Of up to 40 paths those that cost at most 1.5 times the least."""
+    g = networks.two_hop(spark, sf_dir, tiers=3)
+    return batch.ksp(g, networks.pairs(spark, sf_dir), 40, max_cost_factor=1.5).groupBy("query_id").agg(F.count("*").alias("paths"), F.max("cost").alias("most"))
+
+
+def ksp_dag_distances(spark, sf_dir):
+    """Distance to the target in each of two paths' own DAGs."""
+    g = networks.two_hop(spark, sf_dir, tiers=3)
+    q = networks.pairs(spark, sf_dir)
+    d = batch.ksp_dags(g, q, 2).join(q.select("query_id", F.col("dst").alias("node")), ["query_id", "node"])
+    return d.select("query_id", F.col("path_no").cast("int").alias("path_no"), "dist", F.size("parents").cast("int").alias("parents"))
+
+
+def policy_cost_factor(spark, sf_dir):
+    """One demand of 500 for each pair over paths that cost at most 1.5 times the least."""
+    g = networks.two_hop(spark, sf_dir, tiers=3)
+    d = networks.pairs(spark, sf_dir).select(F.col("query_id").alias("scenario_id"), F.lit(0).cast("long").alias("demand_id"), "src", "dst", F.lit(0).alias("flow_class"), F.lit(500.0).alias("volume"))
+    done, _ = batch.place_demands(g, d, FlowPolicyConfig(placement=P, max_path_cost_factor=1.5))
+    return done.select("scenario_id", F.round("placed", 3).alias("placed"))
+
+
+def policy_even(spark, sf_dir):
+    """One demand of 50 for each pair, split evenly over the shortest paths."""
+    g = networks.two_hop(spark, sf_dir)
+    d = networks.pairs(spark, sf_dir).select(F.col("query_id").alias("scenario_id"), F.lit(0).cast("long").alias("demand_id"), "src", "dst", F.lit(0).alias("flow_class"), F.lit(50.0).alias("volume"))
+    done, _ = batch.place_demands(g, d, FlowPolicyConfig(placement=E, shortest_path=True))
+    return done.select("scenario_id", F.round("placed", 3).alias("placed"))
+
+
+def single_edge_selection(spark, sf_dir):
+    """The first hop's edge when one edge a pair is taken: the one with the most room."""
+    g = networks.two_hop(spark, sf_dir)
+    chosen = EdgeSelection(multi_edge=False, tie_break=EdgeTieBreak.PREFER_HIGHER_RESIDUAL)
+    hop = F.element_at("hops", 1)["edges"]
+    p = batch.resolve_to_paths(g, networks.pairs(spark, sf_dir), selection=chosen)
+    p = p.select("query_id", F.element_at("hops", 2)["node"].alias("mid"), F.size(hop).alias("edges"), F.element_at(hop, 1).alias("edge_id"))
+    return p.join(g.edges.select("edge_id", "capacity"), "edge_id").select("query_id", "mid", "edges", "capacity")
+
+
+def reachable_after_flow(spark, sf_dir):
+    """Middle nodes that the source still reaches once the flow is placed."""
+    g = networks.two_hop(spark, sf_dir)
+    s = batch.max_flow(g, networks.pairs(spark, sf_dir), MaxFlowOptions(with_reachable=True)).where("total_flow > 0")
+    return s.select("query_id", F.expr("size(filter(sequence(100, size(reachable) - 1), i -> reachable[i]))").cast("long").alias("reached"))
 
 
 def trade_max_flow(spark, sf_dir):
@@ -141,15 +217,15 @@ def trade_max_flow(spark, sf_dir):
 
 
 def trade_sensitivity(spark, sf_dir):
-    """One pair for each nation: from it to the next one (no closed form in SQL)."""
-    ring = sources(spark, sf_dir).withColumn("dst", ((F.col("src") + 1) % 25).cast("int"))
-    return batch.sensitivity(networks.trade(spark, sf_dir), ring)
+    """All pairs of nations (no closed form in SQL)."""
+    return batch.sensitivity(networks.trade(spark, sf_dir), nation_pairs(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
     graph_build, graph_degrees, event_transitions, spf_distances, spf_dag, spf_masked, spf_kernel, resolve_paths, ksp_costs, max_flow_single_tier,
     max_flow_cost_distribution, max_flow_equal_balanced, equal_balanced_frames, min_cut_capacity, edge_flows, batch_failures, sensitivity, policy_wcmp,
-    ledger_remove_class, trade_max_flow, trade_sensitivity,
+    ledger_remove_class, ledger_flows, split_paths, capped_paths, ksp_within_factor, ksp_dag_distances, policy_cost_factor, policy_even,
+    single_edge_selection, reachable_after_flow, trade_max_flow, trade_sensitivity,
 )}
 
 TRADE = """trade AS (
@@ -219,6 +295,24 @@ ORACLES = {
  SELECT query_id, CAST(mids.n AS BIGINT) * 100000000000 + (mids.m + 100) * 1000 + ins.flag AS ext_edge_id, LEAST(cin, cout) - LEAST(cin - ins.cap, cout) AS loss FROM mids JOIN ins ON ins.m = mids.m WHERE cin <= cout
  UNION ALL SELECT query_id, CAST(mids.m + 100 AS BIGINT) * 100000000000 + mids.b * 1000 + outs.flag, LEAST(cin, cout) - LEAST(cin, cout - outs.cap) FROM mids JOIN outs ON outs.m = mids.m AND outs.b = mids.b WHERE cout <= cin)
  SELECT query_id, ext_edge_id, ROUND(loss, 4) AS loss FROM lost WHERE loss > 1.0 / 4096""",
+    "ledger_remove_class": f"""WITH {two_hop_sql()}, f AS (
+ SELECT CAST(mids.n AS BIGINT) * 100000000000 + (mids.m + 100) * 1000 + ins.flag AS ext_edge_id, LEAST(cin, cout) * ins.cap / cin AS flow FROM mids JOIN ins ON ins.m = mids.m WHERE query_id % 2 = 0
+ UNION ALL SELECT CAST(mids.m + 100 AS BIGINT) * 100000000000 + mids.b * 1000 + outs.flag, LEAST(cin, cout) * outs.cap / cout FROM mids JOIN outs ON outs.m = mids.m AND outs.b = mids.b WHERE query_id % 2 = 0)
+ SELECT ext_edge_id, ROUND(SUM(flow), 2) AS flow FROM f GROUP BY 1""",
+    "ledger_flows": f"WITH {two_hop_sql()} SELECT query_id, CAST(query_id % 2 AS INTEGER) AS flow_class, CAST(SUM(kin + kout) AS BIGINT) AS edges, ROUND(SUM(LEAST(cin, cout)), 3) AS volume FROM mids GROUP BY 1, 2",
+    "split_paths": f"WITH {two_hop_sql()} SELECT query_id, CAST(m + 100 AS INTEGER) AS mid, CAST(kin * kout AS BIGINT) AS paths, CAST(1 AS BIGINT) AS edges_a_hop FROM mids",
+    "capped_paths": f"WITH {two_hop_sql()} SELECT query_id, CAST(LEAST(3, SUM(kin * kout)) AS BIGINT) AS paths FROM mids GROUP BY 1",
+    "ksp_within_factor": f"""WITH {two_hop_sql(3)}, c AS (SELECT query_id, cost, MIN(cost) OVER (PARTITION BY query_id) AS best, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY cost) AS rn FROM mids, range(100) WHERE range < kin * kout)
+ SELECT query_id, COUNT(*) AS paths, CAST(MAX(cost) AS BIGINT) AS most FROM c WHERE rn <= 40 AND cost <= 1.5 * best GROUP BY 1""",
+    "ksp_dag_distances": f"""WITH {two_hop_sql(3)} SELECT query_id, CAST(rn - 1 AS INTEGER) AS path_no, CAST(cost AS BIGINT) AS dist, CAST(1 AS INTEGER) AS parents FROM (
+ SELECT query_id, cost, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY cost) AS rn FROM mids, range(100) WHERE range < kin * kout) WHERE rn <= 2""",
+    "policy_cost_factor": f"""WITH {two_hop_sql(3)}, c AS (SELECT query_id, LEAST(cin, cout) AS flow, cost, MIN(cost) OVER (PARTITION BY query_id) AS best FROM mids)
+ SELECT p.query_id AS scenario_id, ROUND(LEAST(500, COALESCE(SUM(flow) FILTER (WHERE cost <= FLOOR(1.5 * best)), 0)), 3) AS placed FROM pairs p LEFT JOIN c ON c.query_id = p.query_id GROUP BY 1""",
+    "policy_even": f"SELECT query_id AS scenario_id, ROUND(LEAST(50, total_flow), 3) AS placed FROM ({EVEN})",
+    "single_edge_selection": f"""WITH {two_hop_sql()} SELECT query_id, CAST(mids.m + 100 AS INTEGER) AS mid, CAST(1 AS INTEGER) AS edges, MAX(ins.cap) AS capacity FROM mids JOIN ins ON ins.m = mids.m GROUP BY 1, mids.m""",
+    "reachable_after_flow": f"""WITH {two_hop_sql()}, total AS (SELECT query_id FROM mids GROUP BY 1)
+ SELECT t.query_id, COUNT(gi.m) FILTER (WHERE mids.m IS NULL OR mids.cin > mids.cout) AS reached
+ FROM total t JOIN pairs p ON p.query_id = t.query_id LEFT JOIN gi ON gi.n = p.n LEFT JOIN mids ON mids.query_id = p.query_id AND mids.m = gi.m GROUP BY 1""",
     "policy_wcmp": f"""WITH {two_hop_sql()}, t AS (SELECT p.query_id, LEAST(500, COALESCE(SUM(LEAST(cin, cout)), 0)) AS placed FROM pairs p LEFT JOIN mids ON mids.query_id = p.query_id GROUP BY 1)
  SELECT query_id AS scenario_id, ROUND(placed, 4) AS placed, ROUND(500 - placed, 4) AS leftover FROM t""",
 }
