@@ -13,36 +13,65 @@ from flowloom.llm.queries import vocabulary
 ORACLE_SQL = None
 
 
-def _like(docs: DataFrame, result: DataFrame) -> DataFrame:
-    """The columns of ``docs``, with n_chars (where there is one) counted anew."""
-    if "n_chars" in docs.columns:
-        result = result.withColumn("n_chars", F.length("text").cast("long"))
-    return result.select(docs.columns)
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id, text and one column with all but the text, so that no operator's result can replace a column."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+
+
+def _unwrapped(done: DataFrame, names: list[str], **fresh) -> DataFrame:
+    return done.select(*[(F.col("text") if c == "text" else fresh.get(c, F.col(f"row.`{c}`"))).alias(c) for c in names])
+
+
+def _on_text(docs: DataFrame, operator) -> DataFrame:
+    """``docs`` with the operator's texts; n_chars (where there is one) is counted anew."""
+    return _unwrapped(operator(_wrapped(docs)), docs.columns, n_chars=F.length("text").cast("long"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the line CRF or the base rules reject."""
+    """Drops the documents that the line CRF or the base rules reject.
+
+    Null, empty and blank texts are rejected; repeated rows fare alike; a null
+    doc_id is judged like any other and never trained on; without labels the
+    fixed weights judge; very long texts are read whole; an empty table stays
+    empty; columns pass through unchanged, also those named like a result.
+    """
     model = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_crf.quality(docs, model).where("kept").select(docs.columns)
+    return _unwrapped(quality_crf.quality(_wrapped(docs), model).where("kept"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of linked documents."""
+    """Keeps one document of each group of linked documents: the first by doc_id (null last) and text.
+
+    Rows equal in id and text become one; an id on two texts loses only the
+    text that links; documents without a word stay; very long texts are read
+    whole; an empty table stays empty; columns pass through unchanged.
+    """
     return parity_join.keep_one(docs)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes sentences of repeated spans; a document may be left with empty text."""
-    return _like(docs, sentence_spans.drop_repeats(docs))
+    """Removes sentences of repeated spans; a document may be left with empty text.
+
+    Null texts stay null and empty ones empty; null ids come last in the order
+    of occurrences, ties go to the earlier position; rows equal in id and text
+    are cut alike; an empty table stays empty; n_chars is counted anew, other
+    columns, also those named like a count, pass through unchanged.
+    """
+    return _on_text(docs, sentence_spans.drop_repeats)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data and the terms that disclose it."""
-    return _like(docs, sanitise.sanitise(docs))
+    """Masks personal data and the terms that disclose it.
+
+    Null texts stay null and empty ones empty; repeated rows are masked alike;
+    very long texts are read whole; an empty table stays empty; n_chars is
+    counted anew, other columns pass through unchanged.
+    """
+    return _on_text(docs, sanitise.sanitise)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs token pieces into sequences."""
+    """Packs token pieces into sequences; a null or empty text is its closing id alone, each repeated row is packed."""
     return packing.pack_documents(docs, vocabulary())
 
 
