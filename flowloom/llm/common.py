@@ -163,19 +163,30 @@ def binary_column(batch, name: str) -> list:
 SIEVE_WORDS = 1 << 18
 
 
-def sieve(df: DataFrame, wanted: DataFrame, *key: str, words: int | None = None) -> DataFrame:
-    """The rows of ``df`` whose key may be among those of ``wanted``.
+def flagged(df: DataFrame, wanted: DataFrame, key: list[str], flag: str, words: int | None = None) -> DataFrame:
+    """``df`` plus a column: false where the row's key is surely not in ``wanted`` (whose first columns are the key).
 
     A bitmap of hashed keys, at most ``words`` rows however many are wanted, is
-    broadcast.  It never drops a wanted row; a fuller bitmap lets more of the
-    other rows through, for the exact join that follows.
+    broadcast.  It never misses a wanted row; a fuller bitmap flags more of the
+    other rows too.
     """
     words = words or SIEVE_WORDS
-    spot = F.pmod(F.xxhash64(*key), F.lit(64 * words))
-    bit = F.expr("shiftleft(1L, cast(__spot % 64 AS int))")
-    bits = wanted.select(spot.alias("__spot")).groupBy(F.shiftright("__spot", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
-    placed = df.withColumn("__spot", spot).withColumn("__word", F.shiftright("__spot", 6))
-    return placed.join(F.broadcast(bits), "__word").where(F.col("__bits").bitwiseAND(bit) != 0).drop("__spot", "__word", "__bits")
+    word, bits, spot = (own_name(df, n) for n in ("word", "bits", "spot"))
+
+    def bit(c):
+        return F.expr(f"shiftleft(1L, cast(`{c}` % 64 AS int))")
+
+    hashed = wanted.select(F.pmod(F.xxhash64(*wanted.columns[: len(key)]), F.lit(64 * words)).alias(spot))
+    table = hashed.groupBy(F.shiftright(spot, 6).alias(word)).agg(F.bit_or(bit(spot)).alias(bits))
+    placed = df.withColumn(spot, F.pmod(F.xxhash64(*key), F.lit(64 * words))).withColumn(word, F.shiftright(spot, 6))
+    hit = F.coalesce(F.col(bits).bitwiseAND(bit(spot)) != 0, F.lit(False))
+    return placed.join(F.broadcast(table), word, "left").withColumn(flag, hit).drop(spot, word, bits)
+
+
+def sieve(df: DataFrame, wanted: DataFrame, *key: str, words: int | None = None) -> DataFrame:
+    """The rows of ``df`` whose key may be among those of ``wanted``, for the exact join that follows."""
+    flag = own_name(df, "flag")
+    return flagged(df, wanted.select(*key), list(key), flag, words).where(flag).drop(flag)
 
 
 LAST = np.iinfo(np.int64).max
@@ -184,15 +195,19 @@ LAST = np.iinfo(np.int64).max
 def with_cuts(docs: DataFrame, spans: DataFrame, cut, counts: list[str]) -> DataFrame:
     """``docs`` with text cut by the spans of its (doc_id, text hash), plus two counts.
 
-    spans: (s_id, s_tk, spans), a null id as LAST; cut(text, spans) gives the
-    new text and the counts.  Null texts stay null with counts 0.
+    spans: a written table (s_id, s_tk, spans), a null id as LAST; cut(text,
+    spans) gives the new text and the counts.  Null texts stay null with counts 0.
     """
     import pyarrow as pa
 
     extra = result_columns(docs, counts)
     ident, tk, found = (own_name(docs, n) for n in ("ident", "tk", "found"))
     full = docs.select(*extra, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias(ident), F.xxhash64("text").alias(tk))
-    full = full.join(spans.select(F.col("s_id"), F.col("s_tk"), F.col("spans").alias(found)), (F.col(ident) == F.col("s_id")) & (F.col(tk) == F.col("s_tk")), "left").select(*extra, found)
+    flag = own_name(full, "flag")
+    full = flagged(full, spans, [ident, tk], flag)
+    cutting = full.where(flag).join(spans.select(F.col("s_id"), F.col("s_tk"), F.col("spans").alias(found)), (F.col(ident) == F.col("s_id")) & (F.col(tk) == F.col("s_tk")), "left").select(*extra, found)
+    # texts without a span are not shuffled
+    full = cutting.unionByName(full.where(~F.col(flag)).select(*extra).withColumn(found, F.lit(None).cast(spans.schema["spans"].dataType)))
     schema = T.StructType([docs.schema[c] for c in extra] + [T.StructField(c, T.LongType()) for c in counts])
 
     def run(batches):

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST, STEP, U64, Words, binary_column, chunks, mix, with_cuts
+from .common import LAST, STEP, U64, Words, binary_column, chunks, materialise, mix, with_cuts
 
 MIN_WORDS, LONE_WORDS = 16, 24
 FLUSH = 500_000
@@ -184,5 +184,5 @@ def drop_repeats(docs: DataFrame, size_hint: int | None = None) -> DataFrame:
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BIN_BYTES))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text").where("text IS NOT NULL")
     found = scatter(keyed, bins).groupBy("bin").applyInArrow(repeats, "doc_id long, tk long, at long, n long")
-    spans = found.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("at", "n")).alias("spans")).select(F.col("doc_id").alias("s_id"), F.col("tk").alias("s_tk"), "spans")
+    spans = materialise(found.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("at", "n")).alias("spans")).select(F.col("doc_id").alias("s_id"), F.col("tk").alias("s_tk"), "spans"))
     return with_cuts(docs, spans, cut, ["n_sentences", "n_removed"])

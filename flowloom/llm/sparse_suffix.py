@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST, STEP, U64, Words, binary_column, chunks, materialise, mix, multipliers, window_hashes, with_cuts
+from .common import LAST, STEP, U64, Words, binary_column, chunks, discard, materialise, mix, multipliers, sieve, window_hashes, with_cuts
 
 GRAM, SPAN, LEAST = 8, 16, 50
 PREFIX = LEAST - SPAN
@@ -343,8 +343,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BIN_BYTES))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("tk"), "text").where("text IS NOT NULL")
     found = seed_bins(keyed, bins).groupBy("bin").applyInArrow(repeated_seeds, "doc_id long, tk long, ats array<long>")
-    seeds = found.groupBy("doc_id", "tk").agg(F.collect_list("ats").alias("ats"))
-    joined = keyed.join(seeds, ["doc_id", "tk"]).select("doc_id", "tk", "text", "ats")
+    seeds = materialise(found.groupBy("doc_id", "tk").agg(F.collect_list("ats").alias("ats")))
+    joined = sieve(keyed, seeds, "doc_id", "tk").join(seeds, ["doc_id", "tk"]).select("doc_id", "tk", "text", "ats")
     cuts = context_bins(joined, bins).groupBy("bin").applyInArrow(lambda t: extend(t, bins), SPANS)
     spans = materialise(cuts.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("a", "b")).alias("spans")).select(F.col("doc_id").alias("s_id"), F.col("tk").alias("s_tk"), "spans"))
+    discard(seeds)
     return with_cuts(docs, spans, cut, ["n_words", "n_removed"])
