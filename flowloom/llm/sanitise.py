@@ -12,9 +12,13 @@ is a word in the sentence of an entity.  Over the whole corpus
     P(e|t)  share of the documents with t that hold t in a sentence with e
     PMI     log2(P(e|t) / P(e))        IC = -log2 P(e)
 
-A term discloses an entity when PMI >= DISCLOSURE * IC with at least SUPPORT
-distinct surroundings (copies of one sentence are one surrounding); for an
-entity with fewer, but at least RARE, the term stands in all of them.  Wherever
+A term discloses an entity when PMI >= DISCLOSURE * IC and it leaves at most
+RESIDUAL bits of the entity unknown (IC - PMI = -log2 P(e|t)), with at least
+SUPPORT distinct surroundings (copies of one sentence are one surrounding); for
+an entity with fewer, but at least RARE, the term stands in all of them.  With
+one bit, who reads the term guesses the entity right at least every second
+time.  A word that merely stands in many copies of an entity's sentence, and in
+more documents without it, is no term.  Wherever
 such a term occurs, in any document, it becomes a span of kind ``term``: it is
 generalised to [NUMBER] or [NAME] (digits, capital first letter), else removed
 as [TERM].  Base spans are masked by their kind.
@@ -47,7 +51,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 PROBES = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-SUPPORT, RARE, DISCLOSURE = 4, 2, 0.5
+SUPPORT, RARE, DISCLOSURE, RESIDUAL = 4, 2, 0.5, 1.0
 #: words: letters and digits with what stands between them
 WORD = r"[\p{L}\p{M}\p{N}]++(?:[^\x20\x09-\x0D\p{L}\p{M}\p{N}]++[\p{L}\p{M}\p{N}]++)*+"
 #: ends of sentences; none lies inside a base span
@@ -138,10 +142,10 @@ def surroundings(hits: DataFrame) -> DataFrame:
     lines = lines.where(F.col("__digits") | F.contains("text", F.lit("@"))).withColumn("x", base_spans(F.col("text"))).where(F.size("x") > 0)
     # a word that touches a span is no term
     words = F.filter(terms_of(masked(F.col("text"), F.col("x"), F.lit(MARK))), lambda w: ~F.contains(w, F.lit("\x01")))
-    return lines.select("id", "tk", "copies", entities_of(F.col("x")).alias("entities"), F.xxhash64("text").alias("around"), words.alias("terms"))
+    return lines.select("id", "tk", "copies", entities_of(F.col("x")).alias("entities"), F.xxhash64(F.trim("text", F.lit(" \t\n\x0b\f\r"))).alias("around"), words.alias("terms"))
 
 
-def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, residual: float = RESIDUAL) -> DataFrame:
     """(entity, term) of the terms that disclose an entity, over all documents."""
     held = near.select("id", "tk", "copies", "around", "terms", F.explode("entities").alias("entity"))
     rows = lambda df, *key: df.select(*key, "id", "tk", "copies").distinct().groupBy(*key)
@@ -156,8 +160,10 @@ def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, disclos
     # few words pass the sieve, and their counts are summed before the exact join
     words = sieve(docs.select(F.explode(terms_of(F.col("text"))).alias("term")), pairs, "term").groupBy("term").agg(F.count("*").alias("with_term"))
     n = F.lit(float(total))
-    pmi = F.log2(F.col("both") / F.col("with_term") / (F.col("with_entity") / n))
-    return pairs.join(words, "term").where(pmi >= F.lit(disclosure) * F.log2(n / F.col("with_entity"))).select("entity", "term")
+    told = F.col("both") / F.col("with_term")
+    pmi = F.log2(told / (F.col("with_entity") / n))
+    ic = F.log2(n / F.col("with_entity"))
+    return pairs.join(words, "term").where((pmi >= F.lit(disclosure) * ic) & (told >= F.lit(2.0**-residual))).select("entity", "term")
 
 
 def placed(text: Column, terms: Column) -> Column:

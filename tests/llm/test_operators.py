@@ -1,6 +1,8 @@
 """Operators against brute force, with nulls, empty and long texts, ties, repeats, empty tables."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -405,6 +407,57 @@ def test_disclosing_terms(spark):
     assert all(got[i] == t for i, t in rows if i >= 100)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_disclosing_arithmetic(spark, seed):
+    """The disclosing pairs of a random corpus with repeated rows, by counting over all rows in plain Python."""
+    rng = random.Random(seed)
+    words = [f"w{chr(97 + i)}" for i in range(12)]
+    mails = [f"{m}@{h}.example" for m in "abc" for h in ("x", "y")]
+    rows = []
+    for i in range(120):
+        parts = []
+        for _ in range(3):
+            mail = rng.choice([*mails, *["wz"] * 12])
+            own = rng.choice(["wown" + mail[0], "wown" + mail[2:3], "wz"]) if mail in mails or rng.random() < 0.1 else rng.choice(["wowna", "wownx", "wz"])
+            parts.append(" ".join([*rng.choices(words, weights=range(1, 13), k=3), own, mail]) + " end.")
+        rows += [(i, " ".join(parts))] * rng.choice([1, 1, 1, 5])
+    split = [[x.split() for x in re.findall(r"(.*?) end\.", t)] for _, t in rows]
+    with_term, with_entity, both, places = Counter(), Counter(), Counter(), {}
+    for (i, t), lines in zip(rows, split):
+        with_term.update({w for x in lines for w in (*x, "end") if "@" not in w})
+        seen, pairs = set(), set()
+        for x in lines:
+            for m in (w for w in x if "@" in w):
+                for e in (f"0:{m}", f"0:group:{m.split('@')[1]}"):
+                    seen.add(e)
+                    places.setdefault(e, set()).add(tuple(x))
+                    for w in (*x, "end"):
+                        if "@" not in w:
+                            pairs.add((e, w))
+                            places.setdefault((e, w), set()).add(tuple(x))
+        with_entity.update(seen)
+        both.update(pairs)
+    n, want = len(rows), set()
+    for e, w in both:
+        ic, pmi = math.log2(n / with_entity[e]), math.log2(both[e, w] / with_term[w] * n / with_entity[e])
+        enough = len(places[e]) >= sanitise.RARE and len(places[e, w]) >= min(sanitise.SUPPORT, len(places[e]))
+        if enough and pmi >= 0.5 * ic and both[e, w] / with_term[w] >= 2**-1.5:
+            want.add((e, w))
+    docs = spark.createDataFrame(rows, "id long, text string").withColumn("tk", F.xxhash64("text"))
+    near = sanitise.surroundings(docs.groupBy("id", "tk").agg(F.first("text").alias("text"), F.count("*").alias("copies")))
+    got = sanitise.disclosing(docs, near, residual=1.5).collect()
+    assert want and len(want) < len(both) and {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_copies_disclose_no_common_words(spark):
+    """Many near copies of one sentence with an address leave the words alone that mostly stand elsewhere."""
+    rows = [(i, f"Osprey met the ordinary clerk {'twice' if i % 2 else 'again'} at a@copied.example today.") for i in range(60)]
+    rows += [(100 + i, f"{prose(10)} an ordinary clerk met {prose(6)}") for i in range(90)]
+    got = {r.doc_id: r.text for r in sanitise.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == t for i, t in rows if i >= 100)
+    assert all("Osprey" not in got[i] and "ordinary clerk" in got[i] for i in range(60))
+
+
 def test_registered():
     assert [re.match(r"op(\d+)_", n)[1] for n in queries()] == [str(i) for i in range(1, 11)]
 
@@ -523,7 +576,7 @@ def test_disclosing_terms_of_rare_entities(spark):
     """Addresses that occur once share a domain: what names it goes wherever it stands."""
     rows = [(i, f"{prose(6)} The firm Hoopoe, as {prose(8)[:-1]} said, wrote from a{i}@corp.example today. {prose(6)}") for i in range(6)]
     rows += [(50, f"{prose(10)} Nobody at Hoopoe's office: Hoopoe, they said. {prose(6)}")]
-    rows += [(None, f"{prose(6)} Kestrel {prose(9)[:-1]} b@rare.example and {prose(6)}") for _ in range(2)]
+    rows += [(None, f"{prose(6)} Kestrel {prose(9)[:-1]} b@rare.example plus {prose(6)}") for _ in range(2)]
     rows += [(100 + i, f"The firm, as the rest said, wrote from {prose(10)[:-1]} today. {prose(10)}") for i in range(80)]
     got = {(r.doc_id, t): r.text for (i, t), r in zip(rows, sanitise.sanitise(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()) if r.doc_id == i}
     assert len(got) == len(rows)
