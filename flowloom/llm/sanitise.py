@@ -40,7 +40,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, result_columns, sieve
+from .common import flagged, materialise, result_columns, sieve
 
 #: fixed values: the base patterns, written so that they neither backtrack nor recurse
 KINDS = ("email", "ip", "card", "phone")
@@ -186,30 +186,37 @@ def placed(text: Column, terms: Column) -> Column:
     return F.when(terms.isNotNull(), at)
 
 
+def with_base(df: DataFrame) -> DataFrame:
+    """``df`` plus base, the base spans of its text."""
+    none = F.expr("cast(array() AS array<struct<s:int,k:int,e:int,v:string>>)")
+    probed = df.withColumn("__digits", F.coalesce(F.col("text").rlike("[0-9]"), F.lit(False)))
+    return probed.withColumn("base", F.when(F.col("text").isNotNull() & (F.col("__digits") | F.contains("text", F.lit("@"))), base_spans(F.col("text"))).otherwise(none))
+
+
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with base and term spans masked in text.
 
     Adds found (array<struct<s, k, e>>, all spans) and base (those of the base
-    kinds).  Text is scanned once for the spans; only documents with a
-    disclosed term are joined again.
+    kinds).  Only documents that may hold a disclosed term are shuffled for it.
     """
     extra = result_columns(docs, ["base", "found"])
-    keyed = docs.select(F.struct(*extra).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tk"), "text")
-    none = F.expr("cast(array() AS array<struct<s:int,k:int,e:int,v:string>>)")
-    keyed = keyed.withColumn("__digits", F.coalesce(F.col("text").rlike("[0-9]"), F.lit(False)))
-    keyed = keyed.withColumn("base", F.when(F.col("text").isNotNull() & (F.col("__digits") | F.contains("text", F.lit("@"))), base_spans(F.col("text"))).otherwise(none))
-    hits = keyed.where(F.size("base") > 0).groupBy("id", "tk").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    plain = docs.select(F.struct(*[c for c in extra if c != "text"]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tk"), "text")
+    hits = with_base(plain).where(F.size("base") > 0).groupBy("id", "tk").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     near = materialise(surroundings(hits))
     told = materialise(disclosing(docs, near).select("term").distinct())
     if told.isEmpty():
         terms = told.select("term").limit(0)
     else:
-        words = sieve(keyed.select("id", "tk", F.explode(terms_of(F.col("text"))).alias("term")), told, "term").join(told, "term", "left_semi")
+        words = sieve(plain.select("id", "tk", F.explode(terms_of(F.col("text"))).alias("term")), told, "term").join(told, "term", "left_semi")
         terms = materialise(words.groupBy(F.col("id").alias("t_id"), F.col("tk").alias("t_tk")).agg(F.collect_set("term").alias("terms")))
+    none = F.lit(None).cast("array<string>")
     if terms.isEmpty():
-        joined = keyed.withColumn("terms", F.expr("cast(null AS array<string>)"))
+        joined = with_base(plain.withColumn("terms", none))
     else:
-        joined = keyed.join(terms, F.col("id").eqNullSafe(F.col("t_id")) & F.col("tk").eqNullSafe(F.col("t_tk")), "left")
+        # texts without a term are not shuffled
+        maybe = flagged(plain, terms, ["id", "tk"], "maybe")
+        told = maybe.where("maybe").join(terms, F.col("id").eqNullSafe(F.col("t_id")) & F.col("tk").eqNullSafe(F.col("t_tk")), "left").select(*plain.columns, "terms")
+        joined = with_base(told).unionByName(with_base(maybe.where(~F.col("maybe")).select(*plain.columns).withColumn("terms", none)))
     base = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     # a term inside a base span is covered already
     free = F.filter(F.coalesce(placed(F.col("text"), F.col("terms")), F.expr("cast(array() AS array<struct<s:int,k:int,e:int>>)")), lambda t: ~F.exists("base", lambda b: (t["s"] < b["e"]) & (b["s"] < t["e"])))
