@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 EDGE_SCHEMA = "edge_id int, ext_edge_id long, src int, dst int, capacity double, cost long"
 #: edges that may be held in one process: 28 bytes each in the broadcast, about 300 in a worker's lists, so
-#: 1.2 GB at most; larger graphs take the DataFrame route
+#: 1.2 GB at most
 MAX_LOCAL_EDGES = 4_000_000
+#: edges up to which every worker gets the whole graph; beyond, a query gets the part that it needs
+LOCAL_EDGES = 1_000_000
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -33,7 +35,11 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 class Net:
-    """A graph in arrays, edges in id order; built from sorted columns."""
+    """A graph in arrays, edges in id order; built from sorted columns.
+
+    A part of a graph numbers its nodes and edges anew in the same order;
+    node_ids and edge_ids hold the graph's own ids, whole its number of nodes.
+    """
 
     def __init__(self, num_nodes: int, src, dst, capacity, cost, ext=None):
         self.n = int(num_nodes)
@@ -41,6 +47,17 @@ class Net:
         self.cap, self.cost = np.asarray(capacity, np.float64), np.asarray(cost, np.int64)
         self.ext = np.asarray(ext, np.int64) if ext is not None else np.arange(self.src.size, dtype=np.int64)
         self.m = self.src.size
+        self.node_ids, self.edge_ids, self.whole = range(self.n), range(self.m), self.n
+
+    @classmethod
+    def part(cls, whole: int, edge_ids, src, dst, capacity, cost, ends=()) -> Net:
+        """Some edges of a graph of ``whole`` nodes, in any order and possibly repeated, and the nodes ``ends``."""
+        ids, first = np.unique(np.asarray(edge_ids, np.int64), return_index=True)
+        src, dst, capacity, cost = (np.asarray(x)[first] for x in (src, dst, capacity, cost))
+        nodes = np.unique(np.concatenate([src, dst, [v for v in ends if v is not None and 0 <= v < whole]]).astype(np.int64))
+        net = cls(nodes.size, np.searchsorted(nodes, src), np.searchsorted(nodes, dst), capacity, cost)
+        net.node_ids, net.edge_ids, net.whole = nodes.tolist(), ids.tolist(), whole
+        return net
 
     @classmethod
     def of(cls, num_nodes: int, edges) -> Net:
@@ -50,7 +67,7 @@ class Net:
         return cls(num_nodes, [r[1] for r in rows], [r[2] for r in rows], [r[4] for r in rows], [r[0] for r in rows], [r[3] for r in rows])
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("n", "src", "dst", "cap", "cost", "ext", "m")}
+        return {k: self.__dict__[k] for k in ("n", "src", "dst", "cap", "cost", "ext", "m", "node_ids", "edge_ids", "whole")}
 
     @cached_property
     def out(self) -> list[list[tuple[int, list[int]]]]:
@@ -188,7 +205,7 @@ def build_graph(edges: DataFrame, num_nodes: int) -> Graph:
     The edges are written once, so their plan runs a single time however often
     the graph is read.  Up to a million edges are ranked in one sort; beyond
     that a row's id is its place within (cost, block of 1,024 sources) plus the
-    rows of the blocks before.
+    rows of the blocks before, and the ranked edges are written too.
     """
     edges = materialise(edges.select("src", "dst", "capacity", "cost", "ext_edge_id"))
     found = violations(edges, num_nodes)
@@ -211,7 +228,8 @@ def build_graph(edges: DataFrame, num_nodes: int) -> Graph:
         starts = counts.withColumn("offset", F.coalesce(F.sum("c").over(W.orderBy("cost", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("c")
         local = F.row_number().over(W.partitionBy("cost", "block").orderBy("src", "dst", "ext_edge_id"))
         ranked = keyed.withColumn("place", local).join(starts, ["cost", "block"]).withColumn("edge_id", F.col("offset") + F.col("place") - 1)
-    graph = Graph(ranked.select(F.col("edge_id").cast("int").alias("edge_id"), "ext_edge_id", "src", "dst", "capacity", "cost"), num_nodes)
+    ranked = ranked.select(F.col("edge_id").cast("int").alias("edge_id"), "ext_edge_id", "src", "dst", "capacity", "cost")
+    graph = Graph(ranked if found["rows"] <= 1_000_000 else materialise(ranked), num_nodes)
     graph.__dict__["num_edges"] = found["rows"]
     return graph
 

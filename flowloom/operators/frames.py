@@ -80,17 +80,35 @@ def list_paths(tree: DataFrame, targets: DataFrame, max_hops: int | None = None)
 
 
 def reachable(arcs: DataFrame, sources: DataFrame) -> DataFrame:
-    """(query_id, node) reached over arcs (query_id, u, v)."""
+    """(query_id, node) reached over arcs (query_id, u, v), or (u, v) for arcs that all queries share."""
+    on = [c for c in ("query_id", "u") if c in arcs.columns]
     known = materialise(sources.select("query_id", F.col("src").alias("node")).distinct())
     frontier = known
     while True:
-        step = frontier.withColumnRenamed("node", "u").join(arcs, ["query_id", "u"]).select("query_id", F.col("v").alias("node")).distinct()
+        step = frontier.withColumnRenamed("node", "u").join(arcs, on).select("query_id", F.col("v").alias("node")).distinct()
         frontier = materialise(step.join(known, ["query_id", "node"], "left_anti"))
         if frontier.isEmpty():
             return known
         known = materialise(known.unionByName(frontier))
 
 
+def parts(edges: DataFrame, keys: DataFrame, to_dst: bool = True) -> DataFrame:
+    """The columns of ``keys`` (p_src, p_dst and any more) with each edge that a path from p_src to p_dst may use.
+
+    Without to_dst: each edge that a path from p_src may use.  What a cycle
+    through the source or target adds stays in.
+    """
+    edges, keys = edges.select("edge_id", "src", "dst", "capacity", "cost"), materialise(keys)
+    arcs = materialise(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct())
+    starts = reachable(arcs, keys.select(F.col("p_src").alias("query_id"), F.col("p_src").alias("src")))
+    found = edges.join(starts.select(F.col("query_id").alias("p_src"), F.col("node").alias("src")), "src")
+    if not to_dst:
+        return found.join(keys, "p_src")
+    back = arcs.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    ends = reachable(back, keys.select(F.col("p_dst").alias("query_id"), F.col("p_dst").alias("src")))
+    return found.join(ends.select(F.col("query_id").alias("p_dst"), F.col("node").alias("dst")), "dst").join(keys, ["p_src", "p_dst"])
+
+
 def min_cut(edges: DataFrame, state: DataFrame, sources: DataFrame) -> DataFrame:
     """(query_id, edge_id) of the cut; state: (query_id, edge_id, residual)."""
     full = materialise(state.join(edges, "edge_id"))
