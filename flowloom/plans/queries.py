@@ -12,6 +12,12 @@ from ..sources import networks
 E, P = FlowPlacement.EQUAL_BALANCED, FlowPlacement.PROPORTIONAL
 
 
+def rounded(value, places: int):
+    """Rounded as DuckDB rounds: the scaled double, not the decimal digits that it prints, decides at a half."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.round(value * 10.0**places, 0) / 10.0**places
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return networks.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_nationkey").cast("int").alias("src"))
 
@@ -68,18 +74,18 @@ def ksp_costs(spark, sf_dir):
 
 def max_flow_single_tier(spark, sf_dir):
     g = networks.two_hop(spark, sf_dir)
-    return batch.max_flow(g, networks.pairs(spark, sf_dir), MaxFlowOptions(shortest_path=True)).select("query_id", F.round("total_flow", 4).alias("total_flow"))
+    return batch.max_flow(g, networks.pairs(spark, sf_dir), MaxFlowOptions(shortest_path=True)).select("query_id", rounded("total_flow", 4).alias("total_flow"))
 
 
 def max_flow_cost_distribution(spark, sf_dir):
     g = networks.two_hop(spark, sf_dir, tiers=3)
     s = batch.max_flow(g, networks.pairs(spark, sf_dir))
-    return s.select("query_id", F.explode("cost_dist").alias("t")).select("query_id", F.col("t.cost").alias("cost"), F.round("t.flow", 4).alias("flow"))
+    return s.select("query_id", F.explode("cost_dist").alias("t")).select("query_id", F.col("t.cost").alias("cost"), rounded("t.flow", 4).alias("flow"))
 
 
 def max_flow_equal_balanced(spark, sf_dir):
     g = networks.two_hop(spark, sf_dir)
-    return batch.max_flow(g, networks.pairs(spark, sf_dir), MaxFlowOptions(placement=E, shortest_path=True)).select("query_id", F.round("total_flow", 4).alias("total_flow"))
+    return batch.max_flow(g, networks.pairs(spark, sf_dir), MaxFlowOptions(placement=E, shortest_path=True)).select("query_id", rounded("total_flow", 4).alias("total_flow"))
 
 
 def equal_balanced_frames(spark, sf_dir):
@@ -88,7 +94,7 @@ def equal_balanced_frames(spark, sf_dir):
     q = networks.pairs(spark, sf_dir)
     e = frames.materialise(frames.allowed(g.edges))
     tree = frames.dag(e, frames.distances(e, q.select("query_id", "src")))
-    return frames.equal_balanced(tree, e, q).select("query_id", F.round("total", 4).alias("total_flow"))
+    return frames.equal_balanced(tree, e, q).select("query_id", rounded("total", 4).alias("total_flow"))
 
 
 def min_cut_capacity(spark, sf_dir):
@@ -100,7 +106,7 @@ def min_cut_capacity(spark, sf_dir):
 def edge_flows(spark, sf_dir):
     g = networks.two_hop(spark, sf_dir)
     f = batch.edge_flows(g, networks.pairs(spark, sf_dir), MaxFlowOptions(shortest_path=True))
-    return f.join(g.edges.select("edge_id", "ext_edge_id"), "edge_id").select("query_id", "ext_edge_id", F.round("flow", 3).alias("flow"))
+    return f.join(g.edges.select("edge_id", "ext_edge_id"), "edge_id").select("query_id", "ext_edge_id", rounded("flow", 3).alias("flow"))
 
 
 def batch_failures(spark, sf_dir):
@@ -109,13 +115,13 @@ def batch_failures(spark, sf_dir):
     q = networks.pairs(spark, sf_dir).withColumn("scenario_id", F.explode(F.array([F.lit(i) for i in range(4)])))
     q = q.withColumn("query_id", F.col("query_id") * 10 + F.col("scenario_id"))
     lost = networks.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 4).cast("int").alias("scenario_id"), (F.col("s_suppkey") + networks.SUPPLIER_AT).cast("int").alias("node"))
-    return batch.max_flow(g, batch.with_masks(q, lost)).select("query_id", F.round("total_flow", 4).alias("total_flow"))
+    return batch.max_flow(g, batch.with_masks(q, lost)).select("query_id", rounded("total_flow", 4).alias("total_flow"))
 
 
 def sensitivity(spark, sf_dir):
     g = networks.two_hop(spark, sf_dir)
     s = batch.sensitivity(g, networks.pairs(spark, sf_dir))
-    return s.join(g.edges.select("edge_id", "ext_edge_id"), "edge_id").select("query_id", "ext_edge_id", F.round("loss", 4).alias("loss"))
+    return s.join(g.edges.select("edge_id", "ext_edge_id"), "edge_id").select("query_id", "ext_edge_id", rounded("loss", 4).alias("loss"))
 
 
 def policy_wcmp(spark, sf_dir):
@@ -124,7 +130,7 @@ def policy_wcmp(spark, sf_dir):
     d = networks.pairs(spark, sf_dir).select(F.col("query_id").alias("scenario_id"), F.lit(0).cast("long").alias("demand_id"), "src", "dst", F.lit(0).alias("flow_class"), F.lit(500.0).alias("volume"))
     config = FlowPolicyConfig(placement=P, shortest_path=True)
     done, _ = batch.place_demands(g, d, config)
-    return done.select("scenario_id", F.round("placed", 4).alias("placed"), F.round("leftover", 4).alias("leftover"))
+    return done.select("scenario_id", rounded("placed", 4).alias("placed"), rounded("leftover", 4).alias("leftover"))
 
 
 def class_ledger(spark, sf_dir):
@@ -138,7 +144,7 @@ def ledger_remove_class(spark, sf_dir):
     """Flow left on each edge over all ledgers after class 1 goes."""
     g, ledger = class_ledger(spark, sf_dir)
     left = frames.remove_by_class(ledger, 1).groupBy("edge_id").agg(F.sum("flow").alias("flow"))
-    return left.join(g.edges.select("edge_id", "ext_edge_id"), "edge_id").select("ext_edge_id", F.round("flow", 2).alias("flow"))
+    return left.join(g.edges.select("edge_id", "ext_edge_id"), "edge_id").select("ext_edge_id", rounded("flow", 2).alias("flow"))
 
 
 def ledger_flows(spark, sf_dir):
@@ -146,7 +152,7 @@ def ledger_flows(spark, sf_dir):
     g, ledger = class_ledger(spark, sf_dir)
     first = ledger.join(g.edges.select("edge_id", F.col("src").alias("from_node")), "edge_id")
     return first.groupBy(F.col("scenario_id").alias("query_id"), F.col("flow_class").cast("int").alias("flow_class")).agg(
-        F.count("*").alias("edges"), F.round(F.sum(F.when(F.col("from_node") == F.col("src"), F.col("flow"))), 3).alias("volume")
+        F.count("*").alias("edges"), rounded(F.sum(F.when(F.col("from_node") == F.col("src"), F.col("flow"))), 3).alias("volume")
     )
 
 
@@ -183,7 +189,7 @@ def policy_cost_factor(spark, sf_dir):
     g = networks.two_hop(spark, sf_dir, tiers=3)
     d = networks.pairs(spark, sf_dir).select(F.col("query_id").alias("scenario_id"), F.lit(0).cast("long").alias("demand_id"), "src", "dst", F.lit(0).alias("flow_class"), F.lit(500.0).alias("volume"))
     done, _ = batch.place_demands(g, d, FlowPolicyConfig(placement=P, max_path_cost_factor=1.5))
-    return done.select("scenario_id", F.round("placed", 3).alias("placed"))
+    return done.select("scenario_id", rounded("placed", 3).alias("placed"))
 
 
 def policy_even(spark, sf_dir):
@@ -191,7 +197,7 @@ def policy_even(spark, sf_dir):
     g = networks.two_hop(spark, sf_dir)
     d = networks.pairs(spark, sf_dir).select(F.col("query_id").alias("scenario_id"), F.lit(0).cast("long").alias("demand_id"), "src", "dst", F.lit(0).alias("flow_class"), F.lit(50.0).alias("volume"))
     done, _ = batch.place_demands(g, d, FlowPolicyConfig(placement=E, shortest_path=True))
-    return done.select("scenario_id", F.round("placed", 3).alias("placed"))
+    return done.select("scenario_id", rounded("placed", 3).alias("placed"))
 
 
 def single_edge_selection(spark, sf_dir):

@@ -6,9 +6,9 @@ from test_queries import DATA, duck, same  # noqa: F401
 from flowloom import graph as graphs
 from flowloom.model import EdgeSelection, FlowPlacement, FlowPolicyConfig, MaxFlowOptions
 from flowloom.operators import batch
-from flowloom.plans.queries import ORACLES, QUERIES
+from flowloom.plans.queries import ORACLES, QUERIES, rounded
 
-NAMES = ["batch_failures"]
+NAMES = ["batch_failures", "edge_flows"]
 
 
 @pytest.fixture
@@ -28,6 +28,14 @@ def test_query_in_parts(spark, duck, small_process, name):  # noqa: F811
     assert all(same(x, y) for g, w in zip(got, want) for x, y in zip(g, w)), [(g, w) for g, w in zip(got, want) if g != w][:3]
 
 
+def test_rounding_at_a_half_is_that_of_duckdb(spark, duck):  # noqa: F811
+    values = [130.0725, 1.005, 2.675, 0.5, 12.3456, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (2, 3):
+        got = [r[0] for r in df.select(rounded("v", places)).collect()]
+        assert got == [duck.sql(f"SELECT ROUND(CAST({v} AS DOUBLE), {places})").fetchall()[0][0] for v in values]
+
+
 def rows(df):
     return sorted(map(str, df.collect()))
 
