@@ -8,7 +8,7 @@ from flowloom.model import EdgeSelection, FlowPlacement, FlowPolicyConfig, MaxFl
 from flowloom.operators import batch
 from flowloom.plans.queries import ORACLES, QUERIES, rounded
 
-NAMES = ["batch_failures", "edge_flows", "max_flow_single_tier"]
+NAMES = ["batch_failures", "edge_flows", "max_flow_single_tier", "capped_paths"]
 
 
 @pytest.fixture
