@@ -115,6 +115,11 @@ class Net:
     def sources(self) -> list[int]:
         return self.src.tolist()
 
+    @cached_property
+    def even_pairs(self) -> bool:
+        """Whether parallel edges cost the same and no edge is free."""
+        return not self.has_free_edges and all(self.costs[e] == self.costs[edges[0]] for near in self.out for _, edges in near for e in edges)
+
     @cached_property
     def has_free_edges(self) -> bool:
         return bool((self.cost == 0).any())
