@@ -9,6 +9,7 @@ import math
 import numpy as np
 import pytest
 
+from flowloom.functions import flows, paths
 from flowloom.functions.flows import State, max_flow, sensitivity
 from flowloom.functions.paths import Gate, k_shortest, path_dag, resolve_paths, shortest_paths
 from flowloom.functions.policy import FlowGraph, FlowPolicy
@@ -275,3 +276,39 @@ def test_grid_distance():
     n = 20
     net = Net.of(n * n, [(i * n + j, i * n + j + 1, 1, 1) for i in range(n) for j in range(n - 1)] + [(i * n + j, i * n + n + j, 1, 1) for i in range(n - 1) for j in range(n)])
     assert shortest_paths(net, 0, n * n - 1, Gate(net))[0][n * n - 1] == 2 * (n - 1)
+
+
+def loose_net(rng, n, most):
+    ends = [(u, v, rng.randint(1, 3), float(rng.choice([0, 1, 2, 5, 9]))) for u, v in (rng.sample(range(n), 2) for _ in range(rng.randint(3, most)))]
+    return Net.of(n, ends)
+
+
+def test_sensitivity_by_branches_equals_whole_refills():
+    import random
+
+    rng, several = random.Random(3), 0
+    for _ in range(400):
+        net = loose_net(rng, rng.randint(3, 8), 18)
+        nodes, barred = frozenset(v for v in range(1, net.n - 1) if rng.random() < 0.1), frozenset(e for e in range(net.m) if rng.random() < 0.1)
+        several += len(flows.branches(net, 0, net.n - 1, nodes, barred)) > 1
+        got, want = flows.sensitivity(net, 0, net.n - 1, nodes_out=nodes, edges_out=barred), flows.losses(net, 0, net.n - 1, flows.MaxFlowOptions(), nodes, barred)
+        assert [e for e, _ in got] == [e for e, _ in want]
+        assert all(abs(x - y) < 1e-9 for (_, x), (_, y) in zip(got, want))
+    assert several > 50
+
+
+def test_sensitivity_fills_no_more_than_the_edge_s_branch_again(monkeypatch):
+    sizes, state = [], flows.State
+    monkeypatch.setattr(flows, "State", lambda net, *rest: sizes.append(net.m) or state(net, *rest))
+    net = Net.of(52, [(0, v, 1, 4.0) for v in range(1, 51)] + [(v, 51, 1, 4.0) for v in range(1, 51)])
+    assert len(flows.sensitivity(net, 0, 51)) == 100
+    assert sum(sizes) <= 50 * 3 * 2
+
+
+def test_many_equal_paths_are_searched_once(monkeypatch):
+    calls, search = [], paths.shortest_paths
+    monkeypatch.setattr(paths, "shortest_paths", lambda *a, **k: calls.append(1) or search(*a, **k))
+    net = Net.of(52, [(0, v, 1, 4.0) for v in range(1, 51)] + [(v, 51, 1, 4.0) for v in range(1, 51)])
+    got = paths.k_shortest(net, 0, 51, 40)
+    assert got == sorted(got) and len(got) == 40 and {c for c, _ in got} == {2}
+    assert len(calls) <= 4
