@@ -8,7 +8,7 @@ from flowloom.model import EdgeSelection, FlowPlacement, FlowPolicyConfig, MaxFl
 from flowloom.operators import batch
 from flowloom.plans.queries import ORACLES, QUERIES, rounded
 
-NAMES = ["batch_failures", "edge_flows", "max_flow_single_tier", "capped_paths", "min_cut_capacity", "ksp_within_factor", "ksp_costs", "ksp_dag_distances", "policy_cost_factor", "max_flow_cost_distribution", "single_edge_selection", "resolve_paths", "max_flow_equal_balanced", "policy_even", "policy_wcmp", "ledger_flows", "ledger_remove_class", "split_paths"]
+NAMES = ["batch_failures", "edge_flows", "max_flow_single_tier", "capped_paths", "min_cut_capacity", "ksp_within_factor", "ksp_costs", "ksp_dag_distances", "policy_cost_factor", "max_flow_cost_distribution", "single_edge_selection", "resolve_paths", "max_flow_equal_balanced", "policy_even", "policy_wcmp", "ledger_flows", "ledger_remove_class", "split_paths", "reachable_after_flow"]
 
 
 @pytest.fixture
