@@ -135,7 +135,11 @@ def seed_bins(docs: DataFrame, bins: int) -> DataFrame:
 
 
 def repeated_seeds(table: pa.Table) -> pa.Table:
-    """The suffixes of a bin whose prefix occurs more than once: one row a document, ats and hot ones apart."""
+    """The suffixes of a bin whose prefix occurs more than once; ``at``: twice the position, plus one if hot.
+
+    One row a suffix: rows for each document would grow with the number of bins
+    over which its suffixes lie, and so faster than the table.
+    """
     parts, marks = [], []
     for blob in table.column("blob").to_pylist():
         n, m, k = np.frombuffer(blob, np.int64, 3).tolist()
@@ -156,9 +160,7 @@ def repeated_seeds(table: pa.Table) -> pa.Table:
     keep = (count[back] > 1) | hot
     order = np.lexsort((at[keep], tks[keep], ids[keep]))
     ids, tks, at, hot = (x[keep][order] for x in (ids, tks, at, hot))
-    starts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tks[1:] != tks[:-1])])) if ids.size else np.empty(0, np.int64)
-    lists = pa.ListArray.from_arrays(np.append(starts, ids.size).astype(np.int32), 2 * at.astype(np.int64) + hot)
-    return pa.table({"doc_id": ids[starts], "tk": tks[starts], "ats": lists})
+    return pa.table({"doc_id": ids, "tk": tks, "at": 2 * at.astype(np.int64) + hot})
 
 
 def extensions(rec: np.ndarray) -> np.ndarray:
@@ -261,7 +263,7 @@ def context_bins(joined: DataFrame, bins: int) -> DataFrame:
                 short = np.concatenate([(codes >> U64(32)).astype(np.uint32) | np.uint32(1), [np.uint32(0)]])
                 for i in range(len(texts)):
                     a, b = int(words.first[i]), int(words.first[i + 1])
-                    both = np.unique(np.concatenate([np.array(x, np.int64) for x in lists[base + i]]))
+                    both = np.unique(np.array(lists[base + i], np.int64))
                     at = (both >> 1) + a
                     h = np.zeros(at.size, U64)
                     for j, m in enumerate(multipliers(PREFIX, 5)):
@@ -342,8 +344,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BIN_BYTES))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("tk"), "text").where("text IS NOT NULL")
-    found = seed_bins(keyed, bins).groupBy("bin").applyInArrow(repeated_seeds, "doc_id long, tk long, ats array<long>")
-    seeds = materialise(found.groupBy("doc_id", "tk").agg(F.collect_list("ats").alias("ats")))
+    found = seed_bins(keyed, bins).groupBy("bin").applyInArrow(repeated_seeds, "doc_id long, tk long, at long")
+    seeds = materialise(found.groupBy("doc_id", "tk").agg(F.collect_list("at").alias("ats")))
     joined = sieve(keyed, seeds, "doc_id", "tk").join(seeds, ["doc_id", "tk"]).select("doc_id", "tk", "text", "ats")
     cuts = context_bins(joined, bins).groupBy("bin").applyInArrow(lambda t: extend(t, bins), SPANS)
     spans = materialise(cuts.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("a", "b")).alias("spans")).select(F.col("doc_id").alias("s_id"), F.col("tk").alias("s_tk"), "spans"))

@@ -341,6 +341,26 @@ def test_sparse_suffix_partial_sharers(spark, monkeypatch, hot):
     check_suffixes(spark, rows)
 
 
+@pytest.mark.parametrize("hot", [3, 64])
+def test_sparse_suffix_rows_do_not_grow_with_bins(spark, monkeypatch, hot):
+    """A larger table has more bins: a document must not get more rows for that."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(sparse_suffix, "HOT_LEAST", hot)
+    shared = [prose(300) for _ in range(4)]
+    docs = spark.createDataFrame([(k, f"{prose(20)} {shared[k % 4]}", k) for k in range(40)], "doc_id long, text string, tk long").coalesce(1)
+
+    def rows(bins):
+        parts = {}
+        for r in sparse_suffix.seed_bins(docs, bins).collect():
+            parts.setdefault(r.bin, []).append(bytes(r.blob))
+        return sum(sparse_suffix.repeated_seeds(pa.table({"bin": [b] * len(x), "blob": x})).num_rows for b, x in parts.items())
+
+    few = rows(2)
+    assert few > 40
+    assert [rows(12), rows(50)] == [few, few]
+
+
 def test_sentence_spans(spark, docs, none):
     out = [(r.doc_id, r.text, r.n_removed) for r in sentence_spans.drop_repeats(docs).collect()]
     assert len(out) == len(TEXTS) and sentence_spans.drop_repeats(none).count() == 0
